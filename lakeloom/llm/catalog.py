@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import language, near_dedup, packing
 
 QUERIES = {
+    "op7_language_id": language.op7_language_id,
+    "op9_packing": packing.op9_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
