@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, near_dedup, packing
+from . import language, near_dedup, packing, winnow
 
 QUERIES = {
     "op7_language_id": language.op7_language_id,
+    "op8_winnowing": winnow.op8_winnowing,
     "op9_packing": packing.op9_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
