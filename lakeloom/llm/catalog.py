@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import language, near_dedup, packing, winnow
+from . import language, licenses, near_dedup, packing, reputation, secrets, winnow
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_licenses": licenses.op2_licenses,
+    "op4_url_filter": reputation.op4_url_filter,
     "op7_language_id": language.op7_language_id,
     "op8_winnowing": winnow.op8_winnowing,
     "op9_packing": packing.op9_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": reputation.ORACLE_SQL,
+}
