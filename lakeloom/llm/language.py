@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 PIECE = 512  # bytes that are parsed in lock step; a longer text is parsed in as many pieces as it needs
 LANES = 40_000
+CLASSES = 32
 #: ASCII but for lower-case letters becomes white space.
 LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -124,12 +125,13 @@ def parser(sample: tuple[tuple[str, bytes], ...]) -> Parser:
 
 
 def training_sample(labelled: DataFrame, chars: int, docs: int) -> tuple[tuple[str, bytes], ...]:
-    """(language, text) from labelled rows (doc_id, text, lang): of each language, of the `docs` documents with the
-    smallest hash of doc_id, those whose whole text still fits into `chars`; if none does, the start of the first."""
+    """(language, text) from labelled rows (doc_id, text, lang): of each language and each of CLASSES classes of
+    doc_ids by hash, the docs / CLASSES documents with the smallest hash are candidates; of these, by hash, those are
+    learned whose whole text still fits into `chars`; if none does, the start of the first."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-    picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs).collect()
+    order = Window.partitionBy("lang", "class").orderBy("h", "doc_id")
+    hashed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("class", F.pmod("h", F.lit(CLASSES)))
+    picked = hashed.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= -(-docs // CLASSES)).select("lang", "doc_id", "h").distinct().collect()
     wanted = {(r["lang"], r["doc_id"]): r["h"] for r in picked}
     rows = known.where(F.col("doc_id").isin(sorted({d for _, d in wanted}))).groupBy("lang", "doc_id").agg(F.max(F.substring("text", 1, chars + 1)).alias("text"))
     texts: dict[str, list] = {}
