@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
     linked = cut(parts.join(prints, "fp"))
     lowest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     moved = linked.join(lowest, "component").select("fp", "component_id")
-    by_print = prints.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    by_print = cut(prints.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return signed.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
