@@ -1,22 +1,57 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and gives the documents it keeps."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir).  All but the last give the rows of docs that they keep, with its columns; each
+works on all that the stage before it kept, which is written to the shared folder in between.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm.common import cut
+from lakeloom.llm.decontamination import drop_leaking
+from lakeloom.llm.language import drop_unintelligible
+from lakeloom.llm.line_dedup import drop_repeated_lines
 from lakeloom.llm.near_dedup import drop_near_duplicates
+from lakeloom.llm.packing import pack
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that read as no learned language go."""
+    return drop_unintelligible(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from the texts, and documents that consist of nothing else."""
+    return drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
     return drop_near_duplicates(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents with their places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
+#: Language identification and packing are beyond SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, licenses, near_dedup, packing, reputation, secrets, winnow
+from . import decontamination, language, licenses, line_dedup, near_dedup, packing, reputation, secrets, winnow
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_licenses": licenses.op2_licenses,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": reputation.op4_url_filter,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_language_id": language.op7_language_id,
     "op8_winnowing": winnow.op8_winnowing,
     "op9_packing": packing.op9_packing,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_filter": reputation.ORACLE_SQL,
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by their first column, dealt out anew so that no value of it is split between two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(k, k[-1]))
+        if held and held[-1].column(0)[-1].as_py() != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if not last:
+            held.append(batch)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
