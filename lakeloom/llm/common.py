@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow where the executors need not have this package: it goes to them with the job, once a context."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_lakeloom_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="lakeloom-")) / "lakeloom.zip"  # Spark reads it on the driver and serves it
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(target))
+        context._lakeloom_sent = True
+    return df.mapInArrow(function, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and any executor may be lost."""
     spark = df.sparkSession
