@@ -39,6 +39,16 @@ def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most most_bytes, or one row: what Python makes of a batch is a multiple of it."""
+    for batch in batches:
+        if batch.nbytes <= most_bytes or batch.num_rows < 2:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from pieces(iter((batch.slice(0, half), batch.slice(half))), most_bytes)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and any executor may be lost."""
     spark = df.sparkSession

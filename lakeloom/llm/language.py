@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import pieces
+
 UNKNOWN = "und"
 PIECE = 512  # bytes that are parsed in lock step; a longer text is parsed in as many pieces as it needs
 LANES = 40_000
@@ -71,8 +73,8 @@ class Parser:
     def __init__(self, sample: tuple[tuple[str, bytes], ...]):
         self.langs = [lang for lang, _ in sample]
         self.bits = np.array([math.log2(max(2, len(text))) for _, text in sample])
-        self.code = np.zeros(256, np.int32)  # 0: a byte that no language has
-        known = sorted({b for _, text in sample for b in text})
+        self.code = np.zeros(256, np.uint8)  # 0: a byte that no language has
+        known = sorted({b for _, text in sample for b in text})  # UTF-8 has at most 243 bytes
         self.code[known] = np.arange(1, len(known) + 1)
         width = len(known) + 1
         self.tables = []
@@ -119,7 +121,7 @@ class Parser:
         return counts + (states > 0)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def parser(sample: tuple[tuple[str, bytes], ...]) -> Parser:
     return Parser(sample)
 
@@ -183,7 +185,7 @@ def identify(docs: DataFrame, sample: tuple[tuple[str, bytes], ...], text_col: s
     at = kept.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             langs, scores, bits = judge(batch.column(at), sample)
             found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names)
@@ -205,7 +207,7 @@ def drop_unintelligible(docs: DataFrame, most_bits: float = 12.0) -> DataFrame:
     sample, at = learned_languages(docs), docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             langs, _, bits = judge(batch.column(at), sample)
             yield batch.filter(pa.array([lang != UNKNOWN and b <= most_bits for lang, b in zip(langs, bits)], pa.bool_()))
 
