@@ -58,6 +58,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gave for key in this worker; a worker keeps one such object, so a model makes way for the next one."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind value once for body, so that a lambda below does not evaluate it again for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -7,7 +7,6 @@ of what was learned, log2(learned) bits a phrase, and the language that needs fe
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import held, pieces
 
 UNKNOWN = "und"
 PIECE = 512  # bytes that are parsed in lock step; a longer text is parsed in as many pieces as it needs
@@ -121,9 +120,8 @@ class Parser:
         return counts + (states > 0)
 
 
-@functools.lru_cache(maxsize=1)
 def parser(sample: tuple[tuple[str, bytes], ...]) -> Parser:
-    return Parser(sample)
+    return held(("parser", sample), lambda: Parser(sample))
 
 
 def training_sample(labelled: DataFrame, chars: int, docs: int) -> tuple[tuple[str, bytes], ...]:

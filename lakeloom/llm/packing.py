@@ -8,7 +8,6 @@ slot of a pattern then claims a range of ranks among the pieces of its length, a
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -21,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held
 
-CACHED_CHUNKS = 200_000  # chunks that a worker remembers; it forgets all of them beyond that
+CACHED_CHUNKS = 100_000  # chunks that a worker remembers; it forgets all of them beyond that
 CACHED_CHARS = 48  # longer chunks are not remembered
 MOST_BROADCAST_SLOTS = 100_000
 #: Fixed value: how byte-level BPE of this kind splits a text before merging.
@@ -99,9 +98,8 @@ class Encoder:
         return self.heads[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def pack_histogram(counts: dict[int, int], length: int) -> list[tuple[int, list[tuple[int, int]]]]:
