@@ -72,23 +72,25 @@ class Parser:
     def __init__(self, sample: tuple[tuple[str, bytes], ...]):
         self.langs = [lang for lang, _ in sample]
         self.bits = np.array([math.log2(max(2, len(text))) for _, text in sample])
-        self.code = np.zeros(256, np.uint8)  # 0: a byte that no language has
-        known = sorted({b for _, text in sample for b in text})  # UTF-8 has at most 243 bytes
-        self.code[known] = np.arange(1, len(known) + 1)
-        width = len(known) + 1
-        self.tables = []
+        self.codes, self.tables = [], []  # of a language; code 0: a byte that it has not
         for _, text in sample:
+            known = sorted(set(text))  # UTF-8 has at most 243 bytes
+            code = np.zeros(256, np.uint8)
+            code[known] = np.arange(1, len(known) + 1)
+            width = len(known) + 1
             to = automaton(text)
             table = np.zeros((len(to), width), np.int32)
             for state, edges in enumerate(to):
                 for c, target in edges.items():
-                    table[state, self.code[c]] = target * width
+                    table[state, code[c]] = target * width
+                edges.clear()
+            self.codes.append(code)
             self.tables.append(table.ravel())
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Number of phrases by text and language."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        codes = self.code[np.frombuffer(b"".join(texts), np.uint8)]
+        raw = np.frombuffer(b"".join(texts), np.uint8)
         first = np.r_[0, np.cumsum(sizes)[:-1]]
         per = -(-sizes // PIECE)
         doc = np.repeat(np.arange(len(texts)), per)
@@ -98,19 +100,20 @@ class Parser:
         out = np.zeros((len(texts), len(self.langs)))
         for lo in range(0, len(order), LANES):
             lanes = order[lo : lo + LANES]
-            found = self._lanes(codes, start[lanes], length[lanes])
+            found = self._lanes(raw, start[lanes], length[lanes])
             for g in range(len(self.langs)):
                 out[:, g] += np.bincount(doc[lanes], found[g], len(texts))
         return out
 
-    def _lanes(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _lanes(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Phrases of each lane by language; lanes come longest first."""
         counts = np.zeros((len(self.langs), len(start)), np.int32)
         states = np.zeros_like(counts)
         active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right") if len(length) else []
         for t, m in enumerate(active):
-            c = codes[start[:m] + t]
-            for g, table in enumerate(self.tables):
+            read = raw[start[:m] + t]
+            for g, (code, table) in enumerate(zip(self.codes, self.tables)):
+                c = code[read]
                 went = table[states[g, :m] + c]
                 ends = np.flatnonzero(went == 0)
                 again = table[c[ends]]  # 0: a byte that was never learned, a phrase by itself
