@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
@@ -26,8 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """df.mapInArrow where the executors need not have this package: it goes to them with the job, once a context."""
-    context = df.sparkSession.sparkContext
+    """df.mapInArrow where the executors need not have this package: it goes to them with the job, once a context.
+
+    Spark cuts batches by rows, 10 000 unless told otherwise, and each is held on both sides of the pipe; documents are
+    long rows, so a session that has not chosen a number gets BATCH_ROWS.
+    """
+    context, rows = df.sparkSession.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(rows) == "10000":
+        df.sparkSession.conf.set(rows, BATCH_ROWS)
     if not getattr(context, "_lakeloom_sent", False):
         package = Path(__file__).resolve().parents[1]
         target = Path(tempfile.mkdtemp(prefix="lakeloom-")) / "lakeloom.zip"  # Spark reads it on the driver and serves it
@@ -105,10 +113,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least `rows`, but for the last: arrays of short rows are dear to start on."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.num_rows for b in some) >= rows:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some = []
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows that come sorted by their first column, dealt out anew so that no value of it is split between two tables."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in gathered(batches):
         if not batch.num_rows:
             continue
         k = batch.column(0).to_numpy(zero_copy_only=False)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_batches
 
 TOKEN = re.compile(r"[.!?\n]+|\d[\d.,:/]*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[%€$£°]")
 UNITS = frozenset(
@@ -106,7 +106,7 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
             yield batch_of(rows, kinds, names)
 
     names, kinds = ["item_id", "n_windows", "h", "item_at", "item_slots"], [pa.int64()] * 4 + [pa.list_(pa.string())]
-    return benchmark.mapInArrow(scan, "item_id bigint, n_windows bigint, h bigint, item_at bigint, item_slots array<string>")
+    return map_batches(benchmark, scan, "item_id bigint, n_windows bigint, h bigint, item_at bigint, item_slots array<string>")
 
 
 def batch_of(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def document_windows(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame
             yield batch_of(rows, kinds, names)
 
     names, kinds = ["doc_id", "print", "h", "at", "doc_slots"], [pa.int64()] * 4 + [pa.list_(pa.string())]
-    return docs.mapInArrow(scan, "doc_id bigint, print bigint, h bigint, at bigint, doc_slots array<string>")
+    return map_batches(docs, scan, "doc_id bigint, print bigint, h bigint, at bigint, doc_slots array<string>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

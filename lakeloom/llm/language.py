@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, pieces
+from .common import held, map_batches, pieces
 
 UNKNOWN = "und"
 PIECE = 512  # bytes that are parsed in lock step; a longer text is parsed in as many pieces as it needs
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, sample: tuple[tuple[str, bytes], ...], text_col: s
 
     names = [*kept, "lang_pred", "score", "bits"]
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, bits double").fields])
-    return docs.mapInArrow(scan, schema)
+    return map_batches(docs, scan, schema)
 
 
 def learned_languages(docs: DataFrame, chars: int = 32_000, docs_per_language: int = 96) -> tuple[tuple[str, bytes], ...]:
@@ -212,7 +212,7 @@ def drop_unintelligible(docs: DataFrame, most_bits: float = 12.0) -> DataFrame:
             langs, _, bits = judge(batch.column(at), sample)
             yield batch.filter(pa.array([lang != UNKNOWN and b <= most_bits for lang, b in zip(langs, bits)], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_batches(docs, scan, docs.schema)
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, map_batches
 
 SMALL_GROUP = 24  # up to here all pairs of a bucket are compared; beyond it links are found by searching outwards
 
@@ -153,10 +153,10 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
             prints = [simhash(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
-    signed = cut(base.mapInArrow(scan, "doc_id bigint, fp bigint"))
+    signed = cut(map_batches(base, scan, "doc_id bigint, fp bigint"))
     prints = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     keyed = signatures(prints.select("fp"), distance).repartition("key").sortWithinPartitions("key", "fp")
-    links = keyed.mapInArrow(lambda batches: link_buckets(batches, distance), "a bigint, b bigint")
+    links = map_batches(keyed, lambda batches: link_buckets(batches, distance), "a bigint, b bigint")
     parts = connected_components(links).withColumnRenamed("node", "fp")
     linked = cut(parts.join(prints, "fp"))
     lowest = linked.groupBy("component").agg(F.min("least").alias("component_id"))

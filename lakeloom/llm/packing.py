@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import cut, held, map_batches
 
 CACHED_CHUNKS = 100_000  # chunks that a worker remembers; it forgets all of them beyond that
 CACHED_CHARS = 48  # longer chunks are not remembered
@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 7, names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "part_rank"]
-    return docs.mapInArrow(scan, ", ".join(f"{n} bigint" for n in names))
+    return map_batches(docs, scan, ", ".join(f"{n} bigint" for n in names))
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
