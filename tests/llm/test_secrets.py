@@ -3,7 +3,7 @@ import math
 import random
 import re
 
-from lakeloom.llm.secrets import ALLOWED, CANDIDATE, CLASSES, KINDS, WINDOW, find_secrets, joined
+from lakeloom.llm.secrets import ALLOWED, CANDIDATE, CLASSES, KINDS, WINDOW, find_secrets, joined, op1_secrets
 from pyspark.sql import functions as F
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -64,5 +64,15 @@ def test_finds_keys_and_leaves_words_alone(spark):
     assert {r["doc_id"] for r in df.where("size(found) > 0").collect()} == {0, 1, 2}
 
 
+def test_query_counts_by_kind(spark, tmp_path):
+    texts = [None, "", "token=abcdefg and secret: 'hijklmn' and " + "ab12" * 6, "AKIA" + "Z" * 16]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op1_secrets(spark, str(tmp_path)).collect()}
+    assert [(r["n_assign"], r["n_access"], r["n_hex"]) for _, r in sorted(got.items())] == [(0, 0, 0), (0, 0, 0), (2, 0, 1), (0, 1, 0)]
+    for i, text in enumerate(texts):
+        spelled = ",".join(f"{k}:{s}:{e}" for k, s, e in plain_base(text or ""))
+        assert got[i]["base_sha256"] == hashlib.sha256(spelled.encode()).hexdigest()
+
+
 def test_empty(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
