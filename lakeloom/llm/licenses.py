@@ -8,6 +8,8 @@ within one of a rule of higher priority is suppressed.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII that stands between words, but for NUL, which F.translate takes for "no character".
+SIGNS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())
 BASE_SURENESS = 0.5
 EMPTY = "array<struct<label:string,sure:double,priority:int,start:int,end:int>>"
 
@@ -40,6 +44,11 @@ def any_keyword() -> str:
     return "(?i)" + "|".join(map(re.escape, sorted(least)))
 
 
+def word_count(text: Column) -> Column:
+    """Number of words; all signs become spaces first, so that the regex tells only two characters apart."""
+    return F.regexp_count(F.translate(text, SIGNS, " " * len(SIGNS)), F.lit(r"[^ \x00]+"))
+
+
 def base_places(text: Column) -> Column:
     """array<struct<label, start>>: word numbers at which the words of a phrase stand one after another."""
     def of(phrase: str, label: str) -> Column:
@@ -49,12 +58,14 @@ def base_places(text: Column) -> Column:
         kind = "struct<words:int,out:array<struct<label:string,start:int>>>"
 
         def step(acc: Column, gap: Column) -> Column:
-            start = acc["words"] + F.regexp_count(gap, F.lit(IN_WORD + "+"))
+            start = acc["words"] + word_count(gap)
             return F.struct((start + len(words)).alias("words"), F.concat(acc["out"], F.array(F.struct(F.lit(label).alias("label"), start.alias("start")))).alias("out")).cast(kind)
 
         gaps = let(F.split(text, pattern, -1), lambda g: F.slice(g, 1, F.size(g) - 1))
         walked = F.aggregate(gaps, F.struct(F.lit(0), F.array()).cast(kind), step, lambda acc: acc["out"])
-        return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<label:string,start:int>>"))
+        lower = F.translate(text, UPPER, LOWER)
+        holds = reduce(and_, [F.contains(lower, F.lit(w)) for w in words])
+        return F.when(holds & text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<label:string,start:int>>"))
 
     return F.concat(*[of(*p) for p in PHRASES])
 
@@ -101,7 +112,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
-    return base.select("doc_id", F.regexp_count(text, F.lit(IN_WORD + "+")).cast("bigint").alias("n_words"), base_places(text).alias("places"), detections(text).alias("found"))
+    return base.select("doc_id", word_count(text).cast("bigint").alias("n_words"), base_places(text).alias("places"), detections(text).alias("found"))
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
