@@ -77,6 +77,17 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ, in any case, from all that are taken."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind value once for body, so that a lambda below does not evaluate it again for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
