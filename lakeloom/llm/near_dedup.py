@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, map_batches
+from .common import connected_components, cut, fresh, map_batches, pieces
 
+MARK_BITS = 24  # of the bitmap of texts to be compared: 2 MB whatever the corpus
 SMALL_GROUP = 24  # up to here all pairs of a bucket are compared; beyond it links are found by searching outwards
 
 
@@ -165,15 +166,107 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
     return signed.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, columns unchanged; rows with a null doc_id go
-    only if their component has a document with one."""
-    found = near_duplicates(docs, distance, words)
-    stays = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    lone = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi")
-    nameless = docs.where(F.col("doc_id").isNull())
-    return kept.unionByName(nameless.limit(0) if lone.isEmpty() else nameless)
+class Digests(dict):
+    """XXH64 of words, forgotten all together when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 150_000:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
+DIGESTS = Digests()
+
+
+def word_set_print(tokens: list[bytes]) -> int:
+    """Signed SimHash of the distinct words; 0 without words.  An edit changes one or two of them, but `words` shingles."""
+    some = set(tokens)
+    if not some:
+        return 0
+    hashes = np.fromiter(map(DIGESTS.__getitem__, some), "<u8", len(some))
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(some), bitorder="little").view("<i8")[0])
+
+
+def shingles(tokens: list[bytes], words: int) -> list[int]:
+    """Signed hashes of the distinct runs of `words` words; of the whole sequence if it is shorter."""
+    n = max(1, len(tokens) - words + 1)
+    return sorted({xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 43) - (1 << 63) for i in range(n)})
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def copy_groups(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 7) -> DataFrame:
+    """(group, stays, classes) for each group of near copies of docs (doc_id, text, mark): the document that stays, the
+    smallest (null ids last, doc_id, mark), and the number of its different texts.
+
+    Texts with the same words in the same order are one class.  Classes whose distinct words have SimHashes at most
+    `distance` bits apart are found by deletion-variant signatures and linked if the Jaccard similarity of their
+    `words`-word shingles, counted exactly, is at least `least`.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            tokens = [words_of(t) for t in batch.column(1).to_pylist()]
+            prints = pa.array([word_set_print(x) for x in tokens], pa.int64())
+            classes = pa.array([xxhash.xxh64_intdigest(b" ".join(x), 44) - (1 << 63) for x in tokens], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints, classes], ["doc_id", "mark", "fp", "class"])
+
+    seen = cut(map_batches(docs.select("doc_id", "text", "mark"), scan, "doc_id bigint, mark bigint, fp bigint, class bigint"))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
+    classes = cut(seen.groupBy("class").agg(F.min("fp").alias("fp"), F.min(place).alias("first")))
+    leads = classes.groupBy("fp").agg(F.min("class").alias("lead"))
+    keyed = signatures(leads.select("fp"), distance).repartition("key").sortWithinPartitions("key", "fp")
+    close = map_batches(keyed, lambda batches: link_buckets(batches, distance), "a bigint, b bigint").distinct()
+    between = close.join(leads.toDF("a", "x"), "a").join(leads.toDF("b", "y"), "b").select("x", "y")
+    within = classes.join(leads, "fp").where("class <> lead").select(F.col("lead").alias("x"), F.col("class").alias("y"))
+    pairs = cut(between.union(within))
+    ends = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
+    wanted = cut(classes.join(ends, "class").select("class", "first.mark"))
+    bits = mark_bitmap(wanted.select("mark"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            slot = batch.column(1).to_numpy() & ((1 << MARK_BITS) - 1)
+            at = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            some = batch.take(pa.array(at))
+            rows = [shingles(words_of(t), words) for t in some.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column(1), pa.array(rows, pa.list_(pa.int64()))], ["mark", "shingles"])
+
+    found = map_batches(docs.select("text", "mark"), fetch, "mark bigint, shingles array<bigint>").dropDuplicates(["mark"])
+    sets = cut(found.join(wanted, "mark").select("class", "shingles"))
+    both = pairs.join(sets.toDF("x", "p"), "x").join(sets.toDF("y", "q"), "y").withColumn("n", F.size(F.array_intersect("p", "q")))
+    links = both.where(F.col("n") >= least * (F.size("p") + F.size("q") - F.col("n")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    parts = connected_components(links).withColumnRenamed("node", "class")
+    grouped = classes.join(parts, "class", "left").select("class", F.coalesce("component", "class").alias("group"), "first")
+    return grouped.groupBy("group").agg(F.min("first").alias("stays"), F.count("*").alias("classes"))
+
+
+def mark_bitmap(marks: DataFrame) -> np.ndarray:
+    """2^MARK_BITS bits, set where the low bits of a mark point."""
+    slot = F.col("mark").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    rows = marks.select(F.shiftright(slot, 15).alias("part"), slot.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for r in rows.collect():
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 7) -> DataFrame:
+    """docs, columns unchanged, with one document of each group that links of shingle similarity `least` join: the one
+    with the smallest doc_id, ties by the hash of the text; a null doc_id only stays where its group has no other.
+
+    Rows equal in doc_id and text are one document and stay or go together.  Null and empty texts, and texts without
+    words, are copies of each other; an empty table gives an empty result; columns of any name stay as they are.
+    """
+    mark, own, seen = fresh(docs.columns, "mark", "own", "seen")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    stays = copy_groups(plain, words, least, distance).select(F.col("stays.doc_id").alias(own), F.col("stays.mark").alias(seen))
+    same = (F.col(mark) == F.col(seen)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(own))
+    return docs.withColumn(mark, F.xxhash64(text)).join(stays, same, "left_semi").drop(mark)
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

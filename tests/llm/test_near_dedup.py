@@ -86,6 +86,59 @@ def test_keeps_one_of_each_group(spark):
     assert sorted((r[0] for r in kept.collect()), key=str) == [2, 9, None]
 
 
+def plain_kept(rows, least=0.8):
+    """Ids that stay, by comparing the 5-word shingles of all pairs."""
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    first = {}
+    for i, (k, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), (True, 0)), (k is None, k or 0))
+    return sorted(((None if x[0] else x[1]) for x in first.values()), key=str)
+
+
+def near_corpus(edits):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = [(None, "no id at all here"), (900, None), (901, ""), (902, " \n"), (903, "No id at all here")]
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([3, 60, 200, 500]))]
+        for c in range(rng.choice([1, 2, 5])):
+            words = list(base)
+            for at in rng.sample(range(len(base)), int(edits * len(base)) if c else 0):
+                words[at] = word()
+            rows.append((g * 10 + c, " ".join(words)))
+    return rows
+
+
+def test_stage_equals_brute_force(spark):
+    """Copies with 1 % of their words replaced, and with 10 %, which 5-word shingles tell apart."""
+    for edits in (0.01, 0.1):
+        rows = near_corpus(edits)
+        df = spark.createDataFrame([(k, t, 1, 2, "m") for k, t in rows], SCHEMA + ", fp int, component int, mark string")
+        kept = drop_near_duplicates(df.repartition(3))
+        assert kept.columns == df.columns
+        assert sorted((r[0] for r in kept.collect()), key=str) == plain_kept(rows)
+
+
+def test_recall_of_near_copies(spark):
+    """At least 0.9 of the copies with 2 % of their words replaced, similarity about 0.82, go if the shingles say so."""
+    rows = near_corpus(0.02)
+    want = {k for k, _ in rows} - set(plain_kept(rows))
+    got = {k for k, _ in rows} - {r[0] for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).collect() == [] and drop_near_duplicates(df).collect() == []
