@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, fresh, map_batches
 
 TOKEN = re.compile(r"[.!?\n]+|\d[\d.,:/]*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[%€$£°]")
 UNITS = frozenset(
@@ -30,6 +30,7 @@ WORD, NUMBER, UNIT, NAME, STOP = range(5)
 NUMBERS, UNITS_, NAMES = (np.uint64(xxhash.xxh64_intdigest(x, 1) & ~7) for x in (b"<number>", b"<unit>", b"<name>"))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 24  # of the bitmap of window hashes: 2 MB however large the benchmark is
+BROADCAST_WINDOWS = 200_000  # of items, some 100 bytes each; more are joined by shuffle
 SLACK = 8  # tokens by which the alignment of one copy may shift
 
 
@@ -76,8 +77,9 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     return out[stays], (number | unit | name)[stays], np.flatnonzero(stays), tokens
 
 
-def windows(text: str, width: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(hash, position) of the windows that have two words at least, and what their slots are looked up in."""
+def windows(text: str, width: int, all_kinds: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(hash, position) of the windows that have two words at least, or with all_kinds of all windows, and what their
+    slots are looked up in."""
     out, slot, index, tokens = template(text)
     n = len(out) - width + 1
     if n <= 0:
@@ -85,28 +87,38 @@ def windows(text: str, width: int) -> tuple[np.ndarray, np.ndarray, list[str], n
     h = np.zeros(n, np.uint64)
     for j in range(width):
         h = h * FACTOR + out[j : j + n]
+    h = (h + np.uint64(width)) * FACTOR if all_kinds else h
     h ^= h >> np.uint64(29)
+    if all_kinds:
+        return h, np.arange(n), tokens, slot, index
     held = np.r_[0, np.cumsum(slot)]
     at = np.flatnonzero(held[width:] - held[:-width] <= width - 2)
     return h[at], at, tokens, slot, index
 
 
 def slots(at: int, width: int, tokens: list[str], slot: np.ndarray, index: np.ndarray) -> list[str]:
-    return [tokens[index[i]] for i in range(at, at + width) if slot[i]]
+    """The value of each placeholder of a window: a number, a unit, or all words of a name."""
+    def value(i: int) -> str:
+        end = index[i + 1] if i + 1 < len(index) else len(tokens)
+        return " ".join(t for t in tokens[index[i] : end] if t[0] not in ".!?\n")
+
+    return [value(i) for i in range(at, at + width) if slot[i]]
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item_id, n_windows, h, item_at, item_slots) of benchmark (item_id, text); an item of fewer tokens has none."""
+    """(item_id, n_windows, size, h, item_at, item_slots) of benchmark (item_id, text).  size is width, but for an item of
+    fewer tokens, from two on: it is one window of all it has."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, at, *rest = windows(text or "", width)
-                rows += [(item, len(h), x, a, slots(a, width, *rest)) for x, a in zip(h.view(np.int64).tolist(), at.tolist())]
+                size = min(width, len(template(text or "")[0]))
+                h, at, *rest = windows(text or "", size, size < width) if size > 1 else windows("", width)
+                rows += [(item, len(h), size, x, a, slots(a, size, *rest)) for x, a in zip(h.view(np.int64).tolist(), at.tolist())]
             yield batch_of(rows, kinds, names)
 
-    names, kinds = ["item_id", "n_windows", "h", "item_at", "item_slots"], [pa.int64()] * 4 + [pa.list_(pa.string())]
-    return map_batches(benchmark, scan, "item_id bigint, n_windows bigint, h bigint, item_at bigint, item_slots array<string>")
+    names, kinds = ["item_id", "n_windows", "size", "h", "item_at", "item_slots"], [pa.int64()] * 5 + [pa.list_(pa.string())]
+    return map_batches(benchmark, scan, "item_id bigint, n_windows bigint, size bigint, h bigint, item_at bigint, item_slots array<string>")
 
 
 def batch_of(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -123,8 +135,9 @@ def bitmap(items: DataFrame) -> np.ndarray:
     return out
 
 
-def document_windows(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
-    """(doc_id, print, h, at, doc_slots) of those windows of docs (doc_id, text, print) whose bit is set."""
+def document_windows(docs: DataFrame, bits: np.ndarray, width: int, short: list[int]) -> DataFrame:
+    """(doc_id, print, h, at, doc_slots) of those windows of docs (doc_id, text, print) whose bit is set, of `width` tokens
+    and of the sizes of short items."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -132,11 +145,12 @@ def document_windows(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame
                 text = text.as_py()
                 if not text:
                     continue
-                h, at, *rest = windows(text, width)
-                bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                for i in np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1):
-                    a = int(at[i])
-                    rows.append((doc, mark, int(h.view(np.int64)[i]), a, slots(a, width, *rest)))
+                for size in (width, *short):
+                    h, at, *rest = windows(text, size, size < width)
+                    bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    for i in np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1):
+                        a = int(at[i])
+                        rows.append((doc, mark, int(h.view(np.int64)[i]), a, slots(a, size, *rest)))
             yield batch_of(rows, kinds, names)
 
     names, kinds = ["doc_id", "print", "h", "at", "doc_slots"], [pa.int64()] * 4 + [pa.list_(pa.string())]
@@ -148,9 +162,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float =
     (share of the item's windows found in the best stretch), consistency (share of slot values of the item that stand
     for one value of the document), replaced (whether some value differs).
 
-    Both shares are at least `least`.  A stretch is where windows keep their distance from the item's within SLACK
-    tokens.  Repeated rows, equal in doc_id and text, give one row.  Null texts and items, and items of fewer than
-    `width` template tokens or with no window of two words, leak nothing; a null doc_id is kept and tells documents
+    Both shares are at least `least`; values stand for each other one to one, a name with all its words.  A stretch is
+    where windows keep their distance from the item's within SLACK tokens.  An item of fewer than `width` template
+    tokens, but two at least, is found as it is, with equal values.  Repeated rows, equal in doc_id and text, give one
+    row.  Null texts and items, items of one token or none, and longer ones with no window of two words leak nothing; a null doc_id is kept and tells documents
     apart by text only.  Extra columns are ignored; empty tables give an empty result.
 
     Scale: documents are scanned once and not shuffled; a bitmap of fixed size lets through the windows that may be an
@@ -159,29 +174,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, least: float =
     """
     items = cut(item_windows(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string").alias("text")), width))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("print"))
-    found = document_windows(plain, bitmap(items), width)
-    met = found.join(items, "h")
+    facts = items.agg(F.count("*"), F.collect_set(F.when(F.col("size") < width, F.col("size")))).first()  # of sizes, width - 2 at most
+    found = document_windows(plain, bitmap(items), width, sorted(facts[1]))
+    met = found.join(F.broadcast(items) if facts[0] <= BROADCAST_WINDOWS else items, "h")
     shift = F.col("at") - F.col("item_at")
-    grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((shift + g * SLACK // 2) / SLACK).alias("row")) for g in (0, 1)])
+    grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((shift + g * SLACK) / (2 * SLACK)).alias("row")) for g in (0, 1)])
     pair = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda z: F.struct(F.lower(z["item_slots"]).alias("a"), F.lower(z["doc_slots"]).alias("b")))
-    met = met.select("doc_id", "print", "item_id", "n_windows", "item_at", F.explode(grids).alias("place"), pair.alias("pairs"))
-    stretch = met.groupBy("doc_id", "print", "item_id", "n_windows", "place").agg(
+    met = met.select("doc_id", "print", "item_id", "n_windows", "size", "item_at", F.explode(grids).alias("place"), pair.alias("pairs"))
+    stretch = met.groupBy("doc_id", "print", "item_id", "n_windows", "size", "place").agg(
         F.count_distinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
+    values = F.least(*[F.size(F.array_distinct(F.transform("pairs", lambda p: p[end]))) for end in ("a", "b")])
     agree = F.when(F.size("pairs") > 0, values / F.size("pairs")).otherwise(F.lit(1.0))
+    replaced = F.exists("pairs", lambda p: p["a"] != p["b"])
     scored = stretch.select(
-        "doc_id", "print", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"), agree.alias("consistency"), F.exists("pairs", lambda p: p["a"] != p["b"]).alias("replaced")
-    ).where((F.col("coverage") >= least) & (F.col("consistency") >= least))
+        "doc_id", "print", "item_id", (F.col("n") / F.col("n_windows")).alias("coverage"), agree.alias("consistency"), replaced.alias("replaced"), "size"
+    ).where((F.col("coverage") >= least) & (F.col("consistency") >= least) & ((F.col("size") == width) | ~F.col("replaced")))
     best = F.max(F.struct("coverage", "consistency", ~F.col("replaced"))).alias("best")
     told = scored.groupBy("doc_id", "print", "item_id").agg(best)
     return told.select("doc_id", "print", "item_id", "best.coverage", "best.consistency", (~F.col("best.col3")).alias("replaced"))
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, columns unchanged, that leak no item of benchmark."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    same = (F.xxhash64("text") == F.col("_print")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
+    """The rows of docs, columns of any name unchanged, that leak no item of benchmark; null texts and ids stay by the same
+    rule, repeated rows stay or go together, and an empty table gives an empty result."""
+    own, mark = fresh(docs.columns, "own", "mark")
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias(own), F.col("print").alias(mark)).distinct()
+    same = (F.xxhash64("text") == F.col(mark)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(own))
     return docs.join(found, same, "left_anti")
 
 

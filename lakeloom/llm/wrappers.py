@@ -3,9 +3,9 @@
 A page is read as a stream of tags and texts, balanced into nested groups.  Runs of like siblings fold into repeated
 groups (+); aligning the streams of two pages turns what only one of them has into optional groups (?) and texts into
 slots (#), so that all the pages of a host end up as one expression, its wrapper.  The wrapper tells template text (a
-slot that every page has exactly once, with the same text) and the group that carries the text of the host.  The main
-text of a page is what its article, or else that group, holds besides template text and what HTML itself marks as menus,
-forms, adverts and so on.
+slot that every page has exactly once, with the same text) and the group that carries what varies of the host's text.
+The main text of a page is what that group holds besides template text and what HTML itself marks as menus, forms,
+adverts and so on; where the host has too few pages for a wrapper, what its article holds.
 
 Pages are reduced to distinct streams of a host before anything is gathered, and streams are aligned one after the
 other from sorted rows, so a task holds one wrapper at a time whatever the size of the host.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as html_refs
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -60,6 +61,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"[0-9]+")
+DEEPEST = 100  # levels of a page that streams and paths tell apart; what lies deeper belongs to the group at that level
 LONGEST_UNIT = 24  # siblings in the unit of a repeated group; a longer unit stays as it is
 
 Node = tuple  # (signature, least, most, children): least 0 or 1, most 1 or 2 for any number; "#" is a text slot, "" a group
@@ -72,6 +74,7 @@ class Page:
         self.blocks: list[tuple[str, str, bool, bool]] = []
         self.stack: list[tuple[str, str, bool, list]] = [("", "", False, [])]  # name, path, dropped, children
         self.kept: list[str] = []
+        self.open: Counter[str] = Counter()
         self.stream = stream
         source, at = source or "", 0
         for m in TOKEN.finditer(source):
@@ -97,8 +100,7 @@ class Page:
         text = " ".join(html_refs.unescape("".join(self.kept)).split())
         self.kept = []
         if text:
-            names = [s[0] for s in self.stack]
-            self.blocks.append((self.stack[-1][1], text, "article" in names, "main" in names))
+            self.blocks.append((self.stack[-1][1], text, self.open["article"] > 0, self.open["main"] > 0))
             if self.stream:
                 self.stack[-1][3].append(("#", 1, 1, ()))
 
@@ -107,7 +109,10 @@ class Page:
         if name in BLOCKS or name == "head":
             self._flush()
         self.stack.pop()
-        if self.stream and not dropped and name in BLOCKS:
+        self.open[name] -= 1
+        if self.stream and not dropped and name in BLOCKS and len(self.stack) > DEEPEST:
+            self.stack[-1][3].extend(children)
+        elif self.stream and not dropped and name in BLOCKS:
             self.stack[-1][3].append((path.rsplit("/", 1)[-1], 1, 1, fold(children)))
 
     def _tag(self, name: str, end: str, attributes: str) -> None:
@@ -120,7 +125,7 @@ class Page:
                     self._pop()
             return
         if end:
-            if any(s[0] == name for s in stack[1:]):
+            if self.open[name] > 0:
                 while stack[-1][0] != name:
                     self._pop()
                 self._pop()
@@ -145,9 +150,12 @@ class Page:
         signature, chrome = describe(name, attributes)
         parent = stack[-1]
         if block or name == "head":
-            stack.append((name, f"{parent[1]}/{signature}", parent[2] or chrome or name == "head", []))
+            path = f"{parent[1]}/{signature}" if len(stack) <= DEEPEST else parent[1]
+            stack.append((name, path, parent[2] or chrome or name == "head", []))
+            self.open[name] += 1
         elif chrome and not parent[2]:
             stack.append((name, parent[1], True, parent[3]))
+            self.open[name] += 1
 
 
 def describe(name: str, attributes: str) -> tuple[str, bool]:
@@ -267,6 +275,12 @@ def rows_of(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, EVIDENCE_ARROW)], schema=EVIDENCE_ARROW)
 
 
+def branches_of(path: str) -> list[str]:
+    """The branches that hold a text: from the page to the group around its block, not the block itself."""
+    parts = path.split("/")[:-1] if path else [""]
+    return ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Evidence of pages (host, html): streams, texts of slots, and how much text each branch holds; summed by batch."""
     for batch in batches:
@@ -293,10 +307,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, texts in slots.items():
                 mass = sum(map(len, texts))
                 add(host, SLOT, path, mass, xxhash.xxh64_intdigest("\0".join(texts)) >> 1)
-                # the branch of a text is the group around its block, not the block itself
-                parts = path.split("/")[:-1] if path else [""]
-                for i in range(1, len(parts) + 1):
-                    branch = "/".join(parts[:i])
+                for branch in branches_of(path):
                     branches[branch] = branches.get(branch, 0) + mass
             for branch, mass in branches.items():
                 add(host, BRANCH, branch, mass, 0)
@@ -332,7 +343,7 @@ def conclude(least_pages: int, share: float):
     """Function from rows sorted by host, kind, key to one row of WRAPPER for each host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, tree, n, total, root, template, fixed, varies = None, (), 0, 0, None, [], frozenset(), False
+        host, tree, n, total, root, template, fixed, varies, same = None, (), 0, 0, None, [], frozenset(), False, Counter()
 
         def result() -> tuple:
             return host, expression(tree), root, template if varies else []
@@ -343,7 +354,7 @@ def conclude(least_pages: int, share: float):
                 if h != host:
                     if host is not None:
                         out.append(result())
-                    host, tree, n, total, root, template, fixed, varies = h, (), 0, 0, None, [], None, False
+                    host, tree, n, total, root, template, fixed, varies, same = h, (), 0, 0, None, [], None, False, Counter()
                 if kind == STREAM:
                     new = frozen(json.loads(key))
                     tree, n = (align(tree, new) if n else new), n + count
@@ -353,9 +364,12 @@ def conclude(least_pages: int, share: float):
                     varies = varies or low != high
                     if n >= least_pages and count == n and low == high and key in fixed:
                         template.append(key)
+                        same.update({branch: mass for branch in branches_of(key)})
+                elif n < least_pages:
+                    continue
                 elif not key:
-                    total = mass  # the empty path sorts first
-                elif mass >= share * total and (root is None or key.count("/") > root.count("/")):
+                    total = mass - same[key]  # the empty path sorts first
+                elif mass - same[key] >= max(1, share * total) and (root is None or key.count("/") > root.count("/")):
                     root = key
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), WRAPPER_ARROW)], schema=WRAPPER_ARROW)
@@ -367,7 +381,7 @@ def conclude(least_pages: int, share: float):
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 3, share: float = 0.6, salts: int = 16) -> DataFrame:
     """host, wrapper, root and template for each host of pages: the wrapper as text, the deepest branch with at least
-    `share` of the host's text, and the paths of template text (the same in all of at least `least_pages` pages).
+    `share` of the host's text less its template (null for a host of fewer than `least_pages` pages), and the paths of template text (the same in all of at least `least_pages` pages).
 
     Pages without a host (null url, or one without ://) and without text give nothing; an empty table gives no rows.
     Repeated rows count as pages of their own.  Distinct streams of one host are aligned in `salts` parts first, in the
@@ -382,15 +396,15 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 
 def main_text(source: str | None, root: str | None, template) -> str:
-    """The main text of one page: its article's blocks, else those of <main>, else those below root, else all."""
+    """The main text of one page: what its host's wrapper has below root, less template text.  Where the wrapper says
+    nothing of the page (a host of few pages, or none of its blocks below root), the blocks of its <article>, else of
+    <main>, else all."""
     fixed = set(template or ())
     blocks = Page(source).blocks
-    for chosen in ([b for b in blocks if b[2]], [b for b in blocks if b[3]]):
-        if chosen:
-            return " ".join(b[1] for b in chosen)
     rest = [b for b in blocks if b[0] not in fixed]
     below = [b for b in rest if root and (b[0] == root or b[0].startswith(root + "/"))]
-    return " ".join(b[1] for b in below or rest)
+    marked = [b for b in blocks if b[2]] or [b for b in blocks if b[3]]
+    return " ".join(b[1] for b in below or marked or rest)
 
 
 BROADCAST_BYTES = 32 << 20

@@ -33,12 +33,12 @@ def brute_force(docs, items):
         for i, u in items:
             a, at, *_ = windows(t or "", 5)
             b, bt, *_ = windows(u or "", 5)
-            for g in (0, 4):
+            for g in (0, 8):
                 rows = {}
                 for x, p in zip(a.tolist(), at.tolist()):
                     for y, q in zip(b.tolist(), bt.tolist()):
                         if x == y:
-                            rows.setdefault((p - q + g) // 8, set()).add(q)
+                            rows.setdefault((p - q + g) // 16, set()).add(q)
                 if any(len(r) >= 0.8 * len(b) for r in rows.values()):
                     out.add((k, i))
     return out
@@ -65,3 +65,59 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     assert leaks(d.where("false"), b).collect() == [] and leaks(d, b.where("false")).collect() == []
     assert drop_leaking(d, b.where("false")).count() == 1 and drop_leaking(d, b).select(F.count("*")).first()[0] == 0
+
+
+def found_in(spark, docs, items):
+    d, b = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return sorted((r["doc_id"], r["item_id"]) for r in leaks(d, b).collect())
+
+
+def test_values_stand_for_each_other_one_to_one(spark):
+    item = "the letter that John Smith wrote to John Brown about the sale of 3 horses was read by John Smith before John Brown came home"
+    docs = [
+        item.replace("John Smith", "Ann Lee").replace("John Brown", "Bob Ray"),
+        "the letter that Ann Lee wrote to Bob Ray about the sale of 3 horses was read by Bob Ray before Ann Lee came home",  # slots contradict
+        item.replace("John Smith", "Ann Lee").replace("John Brown", "Ann Lee"),  # two values became one
+    ]
+    assert found_in(spark, docs, [item]) == [(0, 0)]
+
+
+def test_short_items_are_found_as_they_are(spark):
+    docs = ["we ask you: what is 7 times? yes", "we ask you: what is 8 times? yes", "what was it", "WHAT IS 7 TIMES"]
+    assert found_in(spark, docs, ["What is 7 times?", "alone", ""]) == [(0, 0), (3, 0)]
+
+
+def test_drift_within_slack_at_any_place(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(40)]
+    docs = []
+    for n in range(0, 9, 2):
+        for before in range(0, 17, 3):
+            docs.append(" ".join([word() for _ in range(before)] + item[:20] + [word() for _ in range(n)] + item[20:]))
+    assert found_in(spark, docs, [" ".join(item)]) == [(i, 0) for i in range(len(docs))]
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Questions with all numbers and names replaced, in the midst of other text: at least 0.95 are found."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8)))
+    items, docs = [], []
+    for _ in range(60):
+        shape = [rng.choice(["w", "w", "w", "w", "n", "N"]) for _ in range(rng.randrange(16, 40))]
+        words = [word() for _ in shape]
+
+        def ask():
+            names = [word().capitalize() for _ in range(2)]
+            return "so " + " ".join(str(rng.randrange(2, 900)) if s == "n" else names[i % 2] if s == "N" else w for i, (s, w) in enumerate(zip(shape, words)))
+
+        items.append(ask())
+        docs.append(" ".join(word() for _ in range(20)) + ". " + ask() + ". " + " ".join(word() for _ in range(20)))
+    hits = found_in(spark, docs, items)
+    assert sum((i, i) in hits for i in range(60)) >= 57 and all(a == b for a, b in hits)
+
+
+def test_clashing_columns_stay(spark):
+    d = spark.createDataFrame([(1, ITEM, 5, "p"), (2, "clean words", 6, "q"), (2, "clean words", 6, "q")], "doc_id bigint, text string, _id int, _print string")
+    kept = drop_leaking(d, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
+    assert kept.columns == d.columns and [tuple(r) for r in kept.collect()] == [(2, "clean words", 6, "q")] * 2

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lakeloom.llm.wrappers import Page, align, expression, extract, fold, infer_wrappers, main_text
+from lakeloom.llm.wrappers import Page, align, expression, extract, fold, infer_wrappers, main_text, sign
 
 SCHEMA = "page_id bigint, url string, html string"
 
@@ -91,3 +91,70 @@ def test_edge_cases(spark):
     got = sorted((r.page_id or 0, r.n_chars, r.text[:9]) for r in out.collect())
     assert got == [(0, 0, ""), (1, 0, ""), (2, 1, "x"), (3, 499_999, "word word"), (3, 499_999, "word word"), (4, 1, "y")]
     assert extract(pages.where("false")).count() == 0
+
+
+def test_deep_nesting(spark):
+    deep = "<div>" * 10_000 + "<p>x</p>" + "</div>" * 10_000
+    rows = [(i, f"https://d.example/{i}", deep.replace("x", f"text {i}")) for i in range(4)] + [(9, "https://d.example/9", "<div>" * 10_000 + "<b>open")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{i: f"text {i}" for i in range(4)}, 9: "open"}
+
+
+def test_wrapper_goes_before_markup(spark):
+    """A host whose pages put a fixed teaser into <article>: what varies is elsewhere, and the wrapper says where."""
+    rows = [(i, f"https://e.example/{i}", f"<article><p>Read our teaser</p></article><div class=body><p>{'own words %d ' % i * 20}</p></div>") for i in range(5)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: ("own words %d " % i * 20).strip() for i in range(5)}
+    assert extract(spark.createDataFrame(rows[:1], SCHEMA)).first()["text"] == "Read our teaser"
+
+
+def accepts(nodes, given):
+    """Whether the expression accepts a list of plain siblings, tried in every way."""
+    if not nodes:
+        return not given
+    (name, least, most, children), rest = nodes[0], nodes[1:]
+    if least == 0 and accepts(rest, given):
+        return True
+    for n in range(1, len(given) + 1):
+        head, tail = given[:n], given[n:]
+        if name:
+            fits = n == 1 and head[0][0] == name and (name == "#" or accepts(children, head[0][3]))
+        else:
+            fits = accepts(children, head)
+        if fits and (accepts(rest, tail) or most == 2 and accepts(((name, 0, most, children), *rest), tail)):
+            return True
+        if name:
+            break
+    return False
+
+
+def test_aligned_expression_accepts_what_it_came_from():
+    draw = random.Random(2)
+
+    def page(depth=0):
+        return "".join(f"<{t}>{page(depth + 1) if t != 'p' and depth < 1 and draw.random() < 0.4 else 'x'}</{t}>" for t in draw.choices(["div", "p", "ul"], k=draw.randrange(1, 5)))
+
+    def plain(source):
+        """The siblings of a page before runs of them are folded."""
+        nodes, stack = [], []
+        import re
+
+        for end, tag, text in re.findall(r"<(/?)(\w+)>|(x)", source):
+            if text:
+                (stack[-1][3] if stack else nodes).append(("#", 1, 1, []))
+            elif end:
+                node = stack.pop()
+                (stack[-1][3] if stack else nodes).append(node)
+            else:
+                stack.append((tag, 1, 1, []))
+        return nodes
+
+    for _ in range(60):
+        sources = [page() for _ in range(3)]
+        tree = stream(sources[0])
+        for s in sources[1:]:
+            tree = align(tree, stream(s))
+        for s in sources:
+            given = [n for n in plain(s)]
+            assert accepts(tree, given), (expression(tree), s)
+        assert all(sign(n) is not None for n in tree)
