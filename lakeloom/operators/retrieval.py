@@ -5,13 +5,14 @@ Queries are the small side: they are broadcast only below MOST_QUERY_TERMS terms
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import query_tokens
-from lakeloom.operators.terms import doc_tfidf
+from lakeloom.functions.text import corpus_tokens, query_tokens, smoothed_idf
+from lakeloom.sources.tables import checkpointed
 
 MOST_QUERY_TERMS = 200_000
+BLOCK_BYTES = 32 << 20  # of query vectors that meet all documents at once
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -19,9 +20,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.limit(MOST_QUERY_TERMS + 1).count() <= MOST_QUERY_TERMS else df
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df, with a broadcast hint if n, its counted rows or a bound of them, is small."""
+    return F.broadcast(df) if n <= MOST_QUERY_TERMS else df
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -30,42 +31,62 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
-def sparse_rank(docs: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """query_id, doc_id, score (sum of qtf * tfidf), matched_terms, rank of the `top` documents of each query."""
-    hits = doc_tfidf(docs).join(small(query_terms(queries)), "token")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tfidf")).alias("score"), F.count("*").alias("matched_terms"))
-    return ranked(scores).where(F.col("rank") <= top)
+def matching_counts(docs: DataFrame, terms: DataFrame, n_terms: int, words: Column) -> DataFrame:
+    """doc_id, len, token, tf of the query terms in each document, and one row with an empty token for each document.
 
+    The only pass over the texts: tokens that no query has go before anything is shuffled, and the result is written.
+    """
+    each = docs.select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("words")).select("doc_id", F.size("words").alias("len"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("token"))
+    wanted = terms.select("token").union(terms.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    return checkpointed(each.join(small(wanted, n_terms), "token", "left_semi").groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf")))
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score of every document with a positive BM25 score.
 
-    Only tokens of queries are carried past the scan; lengths and the average come from the same token counts.
-    """
-    tokens = docs.select("doc_id", query_tokens(F.col("text")).alias("words")).withColumn("len", F.size("words").cast("double"))
-    sizes = tokens.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"))
+def sparse_rank(docs: DataFrame, queries: DataFrame, top: int | None = 10) -> DataFrame:
+    """query_id, doc_id, score (sum of qtf * tfidf), matched_terms, rank of the `top` documents of each query, or all."""
     terms = query_terms(queries)
-    wanted = small(terms.select("token").distinct())
-    tf = tokens.select("doc_id", "len", F.explode("words").alias("token")).join(wanted, "token").groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf"))
+    n = terms.count()
+    counts = matching_counts(docs, terms, n, corpus_tokens(F.col("text")))
+    size = counts.where("token = ''").agg(F.count("*").alias("n"))
+    idf = counts.where("token <> ''").groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).select("token", smoothed_idf(F.col("n"), F.col("df")).alias("idf"))
+    hits = counts.join(small(terms.join(small(idf, n), "token"), n), "token")
+    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score"), F.count("*").alias("matched_terms"))
+    found = ranked(scores)
+    return found.where(F.col("rank") <= top) if top else found
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score of every document with a positive BM25 score; one pass over the texts."""
+    terms = query_terms(queries)
+    n = terms.count()
+    counts = matching_counts(docs, terms, n, query_tokens(F.col("text")))
+    sizes = counts.where("token = ''").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg_len"))
+    tf = counts.where("token <> ''")
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(sizes)).select("token", "avg_len", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = tf.join(small(terms.join(idf, "token")), "token")
+    hits = tf.join(small(terms.join(small(idf, n), "token"), n), "token")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")
 
 
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score for positive cosines of vectors (doc_id, v) with queries (query_id, q), arrays of double.
 
-    The query set meets every vector in blocks of a broadcast, as a stated query set does; zero vectors have no score.
+    The stated query set meets every vector in blocks of at most BLOCK_BYTES by broadcast; zero vectors have no score.
     """
     def norm(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
 
     left = vectors.select("doc_id", "v", norm("v").alias("nv")).where("nv > 0")
-    right = small(queries.select("query_id", "q", norm("q").alias("nq")).where("nq > 0"))
+    right = queries.select("query_id", "q", norm("q").alias("nq")).where("nq > 0")
+    width = right.agg(F.coalesce(F.sum(8 * F.size("q") + 32), F.lit(0))).first()[0]
+    blocks = max(1, -(-width // BLOCK_BYTES))
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return left.crossJoin(right).select("query_id", "doc_id", (dot / (F.col("nv") * F.col("nq"))).alias("score")).where("score > 0")
+    out = None
+    for i in range(blocks):
+        part = left.crossJoin(F.broadcast(right.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)))
+        part = part.select("query_id", "doc_id", (dot / (F.col("nv") * F.col("nq"))).alias("score")).where("score > 0")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def fuse(rankings: list[DataFrame], constant: int = 60) -> DataFrame:
@@ -76,14 +97,47 @@ def fuse(rankings: list[DataFrame], constant: int = 60) -> DataFrame:
     return rows.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"))
 
 
-def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, prior: DataFrame, top: int = 50) -> DataFrame:
-    """The `top` candidates of each query with 0.10 * the covered share of query tokens and 0.05 * prior (doc_id, prior) added."""
-    chosen = candidates.where(F.col("rank") <= top).select("query_id", "doc_id", "score")
-    words = docs.select("doc_id", F.array_distinct(query_tokens(F.col("text"))).alias("words"))
+def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, prior: DataFrame, candidate_k: int = 50) -> DataFrame:
+    """The first `candidate_k` candidates of each query, with 0.10 * the share of query tokens that the text has, 0.05 *
+    that of the title and 0.05 * prior (doc_id, prior) added; docs has doc_id, title, text.  Only candidates' texts are read on."""
+    chosen = candidates.where(F.col("rank") <= candidate_k).select("query_id", "doc_id", "score")
+    read = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    words = read.select("doc_id", *[F.array_distinct(query_tokens(F.coalesce(c, F.lit("")))).alias(f"{c}_words") for c in ("text", "title")])
     wanted = queries.select("query_id", F.array_distinct(query_tokens(F.col("text"))).alias("wanted"))
-    rows = chosen.join(words, "doc_id").join(small(wanted), "query_id").join(prior, "doc_id", "left")
-    share = F.when(F.size("wanted") > 0, F.size(F.array_intersect("words", "wanted")) / F.size("wanted")).otherwise(0.0)
-    return ranked(rows.select("query_id", "doc_id", (F.col("score") + 0.10 * share + 0.05 * F.coalesce("prior", F.lit(0.0))).alias("score")))
+    rows = chosen.join(words, "doc_id").join(wanted, "query_id").join(prior, "doc_id", "left")
+
+    def share(c: str) -> Column:
+        return F.size(F.array_intersect(c, "wanted")) / F.greatest(F.size("wanted"), F.lit(1))
+
+    score = F.col("score") + 0.10 * share("text_words") + 0.05 * share("title_words") + 0.05 * F.coalesce("prior", F.lit(0.0))
+    return ranked(rows.select("query_id", "doc_id", score.alias("score")))
+
+
+def relevant_by_topics(topics: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, doc_id where some topic name of the document holds an expected text of the query, case aside.
+
+    topics (doc_id, topic_name), expected (query_id, expected).  Distinct names meet the queries, not the documents."""
+    names = topics.select("topic_name").where("topic_name is not null").distinct()
+    hits = names.join(F.broadcast(expected), F.contains(F.lower("topic_name"), F.lower("expected"))).select("query_id", "topic_name").distinct()
+    return topics.join(hits, "topic_name").select("query_id", "doc_id").distinct()
+
+
+def precision_over_retrieved(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """query_id, precision: the relevant share of what was retrieved within k."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    marked = ranking.where(F.col("rank") <= k).join(relevant.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return marked.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("precision"))
+
+
+def best_alpha(metrics: DataFrame) -> DataFrame:
+    """query_id, system of the blend with the highest ndcg of each query, ties to the first name; metrics has system."""
+    return metrics.groupBy("query_id").agg(F.min_by("system", F.struct(-F.round("ndcg", 9), F.col("system"))).alias("system"))
+
+
+def excerpt(ranking: DataFrame, docs: DataFrame, top: int = 10, chars: int = 300) -> DataFrame:
+    """The `top` documents of each query with the first `chars` characters of their text."""
+    return ranking.where(F.col("rank") <= top).join(docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("excerpt")), "doc_id")
 
 
 def blend(scores: DataFrame, prior: DataFrame, alpha: float) -> DataFrame:

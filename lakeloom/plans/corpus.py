@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lakeloom.functions.text import STOP_WORDS, collapse, rebuild
 from lakeloom.operators import learning, quality, retrieval, terms
 from lakeloom.plans.publications import paper_features, rounded
-from lakeloom.sources.tables import table, with_views
+from lakeloom.sources.tables import checkpointed, table, with_views
 from lakeloom.streaming import monitor
 
 BATCH = 250
+CANDIDATES, ALPHAS, EXPECTED = 50, [0.1, 0.3], ["en", "de", "web"]
 
 
 def documents(spark, d):
@@ -49,53 +50,114 @@ def sparse_rank(spark, d):
     return rounded(retrieval.sparse_rank(documents(spark, d), benchmark(spark, d)), "score")
 
 
-def bm25_top(spark, d, top=10):
-    return retrieval.ranked(retrieval.bm25(documents(spark, d), benchmark(spark, d))).where(F.col("rank") <= top)
+def bm25_all(spark, d):
+    return retrieval.ranked(retrieval.bm25(documents(spark, d), benchmark(spark, d)))
 
 
 def bm25(spark, d):
-    return rounded(bm25_top(spark, d), "score")
+    return rounded(bm25_all(spark, d).where("rank <= 10"), "score")
 
 
-def dense_top(spark, d, top=10):
+def dense_all(spark, d):
+    """Documents by the embedding of their number, queries by that of theirs."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    vectors = v.join(documents(spark, d).select("doc_id").where("doc_id is not null"), v["vec_id"] == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("doc_id"), F.col("e").alias("v"))
+    queries = v.join(F.broadcast(benchmark(spark, d).select("query_id")), v["vec_id"] == F.col("query_id")).select("query_id", F.col("e").alias("q"))
+    return retrieval.ranked(retrieval.cosine(vectors, queries))
+
+
+def similar_vectors(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    scores = retrieval.cosine(v.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("v")), queries)
-    return retrieval.ranked(scores).where(F.col("rank") <= top)
+    return retrieval.ranked(retrieval.cosine(v.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("v")), queries))
 
 
 def dense_rank(spark, d):
-    return rounded(dense_top(spark, d), "score")
+    return rounded(similar_vectors(spark, d).where("rank <= 10"), "score")
 
 
 def prior(spark, d):
     return table(spark, d, "labels").groupBy(F.col("doc_id")).agg(F.max("quality").cast("double").alias("prior"))
 
 
+def hybrid_all(spark, d):
+    return retrieval.ranked(retrieval.fuse([bm25_all(spark, d), dense_all(spark, d)]))
+
+
 def rrf(spark, d):
-    fused = retrieval.fuse([bm25_top(spark, d), retrieval.sparse_rank(documents(spark, d), benchmark(spark, d))])
-    return rounded(retrieval.ranked(fused), "score")
+    return rounded(hybrid_all(spark, d), "score")
+
+
+def titled(spark, d):
+    """Documents with their first line as title."""
+    return documents(spark, d).withColumn("title", F.substring_index("text", "\n", 1))
+
+
+def reranked(spark, d):
+    return retrieval.rerank(hybrid_all(spark, d), titled(spark, d), benchmark(spark, d), prior(spark, d), CANDIDATES)
 
 
 def rerank(spark, d):
-    return rounded(retrieval.rerank(bm25_top(spark, d), documents(spark, d), benchmark(spark, d), prior(spark, d), 10), "score")
+    return rounded(reranked(spark, d), "score")
 
 
 def graph_blend(spark, d):
-    return rounded(retrieval.blend(bm25_top(spark, d), prior(spark, d), 0.2), "score")
+    return rounded(retrieval.blend(reranked(spark, d), prior(spark, d), 0.2), "score")
 
 
 def retrieval_metrics(spark, d):
-    """Dense retrieval of embeddings, relevant being those with the same label."""
+    """Dense retrieval of embeddings, whole rankings, relevant being those with the same label."""
     v = table(spark, d, "embeddings").select("vec_id", "label")
     queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     relevant = v.withColumnRenamed("vec_id", "doc_id").join(F.broadcast(queries), "label").select("query_id", "doc_id")
-    return rounded(retrieval.evaluate(dense_top(spark, d), relevant), "precision", "recall", "mrr", "ndcg", "ap")
+    return rounded(retrieval.evaluate(similar_vectors(spark, d), relevant), "precision", "recall", "mrr", "ndcg", "ap")
+
+
+def relevance(spark, d):
+    """Documents whose language and source, as a topic name, hold what the query expects."""
+    topics = documents(spark, d).select("doc_id", F.concat_ws(" ", F.upper("lang"), "source").alias("topic_name"))
+    expected = benchmark(spark, d).select("query_id", F.element_at(F.array(*map(F.lit, EXPECTED)), (F.col("query_id") % len(EXPECTED) + 1).cast("int")).alias("expected"))
+    return retrieval.relevant_by_topics(topics, expected)
+
+
+def system_metrics(spark, d):
+    """system, query_id and its measures for BM25, dense, fused, reranked and each blend, and for the best blend of each query."""
+    lists = {"bm25": bm25_all(spark, d), "dense": dense_all(spark, d)}
+    lists = {name: checkpointed(found.select("query_id", "doc_id", "score", "rank")) for name, found in lists.items()}
+    lists["hybrid_rrf"] = retrieval.ranked(retrieval.fuse(list(lists.values())))
+    again = checkpointed(retrieval.rerank(lists["hybrid_rrf"], titled(spark, d), benchmark(spark, d), prior(spark, d), CANDIDATES))
+    lists["hybrid_reranked"] = again
+    blends = {f"graph_alpha_{a:g}": retrieval.blend(again, prior(spark, d), a) for a in ALPHAS}
+    relevant, out = checkpointed(relevance(spark, d)), None
+    for name, found in {**lists, **blends}.items():
+        rows = retrieval.evaluate(found, relevant).withColumn("system", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    out = checkpointed(out)
+    best = retrieval.best_alpha(out.where(F.col("system").isin(list(blends))))
+    return out.unionByName(out.join(best, ["query_id", "system"]).withColumn("system", F.lit("hybrid_reranked_graph")))
+
+
+def retrieval_systems(spark, d):
+    return rounded(system_metrics(spark, d), "precision", "recall", "mrr", "ndcg", "ap")
 
 
 def ablation(spark, d):
-    means = [F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")]
-    return retrieval_metrics(spark, d).agg(*means).withColumn("system", F.lit("dense"))
+    return system_metrics(spark, d).groupBy("system").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
+
+
+def error_analysis(spark, d):
+    """The best system of each query by NDCG, ties to the first name."""
+    named = system_metrics(spark, d).where(~F.col("system").startswith("graph_alpha_"))
+    return named.groupBy("query_id").agg(F.min_by("system", F.struct(-F.round("ndcg", 9), F.col("system"))).alias("best_system"), F.round(F.max("ndcg"), 6).alias("best_ndcg"))
+
+
+def precision_retrieved(spark, d):
+    return rounded(retrieval.precision_over_retrieved(retrieval.sparse_rank(documents(spark, d), benchmark(spark, d)), relevance(spark, d), 10), "precision")
+
+
+def demo_query(spark, d):
+    found = retrieval.excerpt(reranked(spark, d), documents(spark, d), 5)
+    return rounded(found.where("query_id = 1"), "score")
 
 
 def quality_checks(spark, d):
@@ -151,6 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         terms_global, terms_by_source, top_terms_by_source, doc_tfidf, abstract_roundtrip, sparse_rank, bm25, dense_rank, rrf, rerank, graph_blend, retrieval_metrics, ablation,
+        retrieval_systems, error_analysis, precision_retrieved, demo_query, relevance,
         quality_checks, profile_columns, microbatch_metrics, microbatch_alerts, ml_features, logistic_eval, kmeans_select, word2vec_dense,
     )
 }
@@ -189,14 +252,51 @@ DENSE = _ranked(
     "dense",
     """SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
   FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE score > 0""",
+    None,
+)
+BEST_ALL = BEST.replace(" WHERE rank <= 10)", ")")
+BY_VECTOR = _ranked(
+    "byvec",
+    """SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+  FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT doc_id FROM documents)) WHERE score > 0""",
+    None,
+)
+HYBRID = f"{TERMS}, {BEST_ALL}, {BY_VECTOR}, " + _ranked("fused", "SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM best UNION ALL SELECT query_id, doc_id, rank FROM byvec) GROUP BY 1, 2", None)
+_TITLE = ANY.replace("lower(text)", "lower(coalesce(split_part(text, chr(10), 1), ''))")
+AGAIN = f"""{HYBRID}, {PRIOR}, q AS (SELECT item_id AS query_id, list_distinct({ANY}) AS wanted FROM benchmark), titles AS (SELECT doc_id, {_TITLE} AS head FROM documents), """ + _ranked(
+    "again",
+    f"""SELECT query_id, doc_id, score + 0.1::DOUBLE * len(list_intersect(list_distinct(coalesce(words, [])), wanted)) / greatest(len(wanted), 1) + 0.05::DOUBLE * len(list_intersect(list_distinct(head), wanted)) / greatest(len(wanted), 1)
+  + 0.05::DOUBLE * coalesce(prior, 0) AS score FROM fused JOIN toks USING (doc_id) JOIN titles USING (doc_id) JOIN q USING (query_id) LEFT JOIN prior USING (doc_id) WHERE rank <= {CANDIDATES}""",
+    None,
+)
+
+
+def _blend(name: str, a: float) -> str:
+    return _ranked(name, f"SELECT query_id, doc_id, {1 - a!r}::DOUBLE * score / max(score) OVER (PARTITION BY query_id) + {a!r}::DOUBLE * coalesce(prior, 0) AS score FROM again LEFT JOIN prior USING (doc_id)", None)
+
+
+_WANTS = "CASE item_id % 3 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(EXPECTED)) + " END"
+RELEVANT = f"rel AS (SELECT DISTINCT item_id AS query_id, doc_id FROM documents, benchmark WHERE contains(lower(concat_ws(' ', upper(lang), source)), {_WANTS}))"
+
+
+def _metrics(source: str) -> str:
+    """SELECT of the measures of rows (system, query_id, doc_id, rank) against rel."""
+    return f"""SELECT system, query_id, sum(hit) FILTER (rank <= 10) / 10.0::DOUBLE AS precision, coalesce(sum(hit) FILTER (rank <= 10)::DOUBLE / any_value(wanted), 0) AS recall, coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0) AS mrr,
+  coalesce(sum(hit / log2(rank + 1)) FILTER (rank <= 10) / nullif(list_sum(list_transform(range(1, least(sum(hit), 10)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 0), 0) AS ndcg,
+  coalesce(sum(hit * hits / rank::DOUBLE) FILTER (rank <= 10) / nullif(sum(hit) FILTER (rank <= 10), 0), 0) AS ap
+  FROM (SELECT *, sum(hit) OVER (PARTITION BY system, query_id ORDER BY rank) AS hits FROM (SELECT s.system, s.query_id, rank, (r.doc_id IS NOT NULL)::INT AS hit FROM ({source}) s LEFT JOIN rel r USING (query_id, doc_id)))
+  LEFT JOIN (SELECT query_id, count(*) AS wanted FROM rel GROUP BY 1) USING (query_id) GROUP BY 1, 2"""
+
+
+_BLENDS = {f"graph_alpha_{a:g}": f"blend{i}" for i, a in enumerate(ALPHAS)}
+_LISTS = {"bm25": "best", "dense": "byvec", "hybrid_rrf": "fused", "hybrid_reranked": "again", **_BLENDS}
+SYSTEMS = (
+    f"{AGAIN}, " + ", ".join(_blend(f"blend{i}", a) for i, a in enumerate(ALPHAS)) + f", {RELEVANT}, m0 AS MATERIALIZED (" + _metrics(" UNION ALL ".join(f"SELECT '{s}' AS system, query_id, doc_id, rank FROM {n}" for s, n in _LISTS.items())) + """),
+metrics AS (SELECT * FROM m0 UNION ALL SELECT * REPLACE ('hybrid_reranked_graph' AS system) FROM m0 WHERE starts_with(system, 'graph_') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ndcg, 9) DESC, m0.system) = 1)"""
 )
+_ROUND = "* REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round(ap, 6) AS ap)"
 METRICS = f"""{DENSE}, rel AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id FROM embeddings v JOIN embeddings q USING (label) WHERE q.vec_id % 100 = 0),
-marked AS (SELECT d.query_id, rank, (r.doc_id IS NOT NULL)::INT AS hit FROM dense d LEFT JOIN rel r USING (query_id, doc_id)),
-running AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM marked),
-metrics AS (SELECT query_id, round(sum(hit) / 10.0::DOUBLE, 6) AS precision, round(sum(hit)::DOUBLE / any_value(wanted), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank) FILTER (hit = 1), 0), 6) AS mrr,
-  round(coalesce(sum(hit / log2(rank + 1)) / nullif(list_sum(list_transform(range(1, sum(hit)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 0), 0), 6) AS ndcg,
-  round(coalesce(sum(hit * hits / rank::DOUBLE) / nullif(sum(hit), 0), 0), 6) AS ap
-  FROM running JOIN (SELECT query_id, count(*) AS wanted FROM rel GROUP BY 1) USING (query_id) GROUP BY 1)"""
+metrics AS (""" + _metrics("SELECT 'dense' AS system, query_id, doc_id, rank FROM dense") + ")"
 BATCHES = f"""b AS (SELECT (position - 1) // {BATCH} AS batch_id, * FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS position FROM events)),
 m AS (SELECT batch_id, min(position) AS first_position, max(position) AS last_position, count(*) AS records, count(*) FILTER (event_type = 'purchase') AS missing_purchase,
   count(*) FILTER (value < 10) AS missing_value, missing_purchase / records AS purchase_rate, missing_value / records AS value_rate FROM b GROUP BY 1)"""
@@ -218,19 +318,17 @@ ORACLE_SQL = {
 SELECT doc_id, len(list_distinct(string_split(t, ' '))) AS tokens, md5(t) AS text_md5 FROM w WHERE t <> ''""",
     "sparse_rank": f"WITH {SPARSE} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms, rank FROM sparse",
     "bm25": f"WITH {TERMS}, {BEST} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM best",
-    "dense_rank": f"WITH {DENSE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dense",
-    "rrf": f"WITH {SPARSE}, {BEST}, "
-    + _ranked("fused", "SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM best UNION ALL SELECT query_id, doc_id, rank FROM sparse) GROUP BY 1, 2", None)
-    + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM fused",
-    "rerank": f"WITH {TERMS}, {BEST}, {PRIOR}, q AS (SELECT item_id AS query_id, list_distinct({ANY}) AS wanted FROM benchmark), "
-    + _ranked("again", """SELECT query_id, doc_id, score + 0.1::DOUBLE * coalesce(len(list_intersect(list_distinct(words), wanted)) / nullif(len(wanted), 0), 0) + 0.05::DOUBLE * coalesce(prior, 0) AS score
-  FROM best JOIN toks USING (doc_id) JOIN q USING (query_id) LEFT JOIN prior USING (doc_id)""", None)
-    + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM again",
-    "graph_blend": f"WITH {TERMS}, {BEST}, {PRIOR}, "
-    + _ranked("blended", "SELECT query_id, doc_id, 0.8::DOUBLE * score / max(score) OVER (PARTITION BY query_id) + 0.2::DOUBLE * coalesce(prior, 0) AS score FROM best LEFT JOIN prior USING (doc_id)", None)
-    + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM blended",
-    "retrieval_metrics": f"WITH {METRICS} SELECT * FROM metrics",
-    "ablation": f"WITH {METRICS} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, 'dense' AS system FROM metrics",
+    "dense_rank": f"WITH {DENSE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dense WHERE rank <= 10",
+    "rrf": f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM fused",
+    "rerank": f"WITH {AGAIN} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM again",
+    "graph_blend": f"WITH {AGAIN}, {_blend('blended', 0.2)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM blended",
+    "retrieval_metrics": f"WITH {METRICS} SELECT {_ROUND.replace('* REPLACE', '* EXCLUDE (system) REPLACE')} FROM metrics",
+    "retrieval_systems": f"WITH {SYSTEMS} SELECT {_ROUND} FROM metrics",
+    "ablation": f"WITH {SYSTEMS} SELECT system, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM metrics GROUP BY 1",
+    "error_analysis": f"WITH {SYSTEMS} SELECT query_id, system AS best_system, round(ndcg, 6) AS best_ndcg FROM metrics WHERE NOT starts_with(system, 'graph_alpha_') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(ndcg, 9) DESC, system) = 1",
+    "precision_retrieved": f"WITH {SPARSE}, {RELEVANT} SELECT query_id, round(avg((r.doc_id IS NOT NULL)::INT), 6) AS precision FROM sparse s LEFT JOIN rel r USING (query_id, doc_id) GROUP BY 1",
+    "demo_query": f"WITH {AGAIN} SELECT query_id, doc_id, round(score, 6) AS score, rank, substr(coalesce(text, ''), 1, 300) AS excerpt FROM again JOIN documents USING (doc_id) WHERE query_id = 1 AND rank <= 5",
+    "relevance": f"WITH {RELEVANT} SELECT * FROM rel",
     "quality_checks": "SELECT *, CASE WHEN failures = 0 THEN 'pass' ELSE severity END AS status, CASE WHEN denominator > 0 THEN round(100 * failures / denominator, 2) ELSE 0 END AS percentage FROM ("
     + " UNION ALL ".join(f"SELECT '{n}' AS name, '{c}' AS category, '{s}' AS severity, count(*) FILTER (({p}) AND {o}) AS failures, count(*) FILTER ({o}) AS denominator FROM documents" for n, c, s, p, o in _RULES)
     + ")",

@@ -1,12 +1,13 @@
 """Operators on small hand-written records."""
 
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import corpus_tokens, normalize, normalize_doi, query_tokens, rebuild, short_id
-from lakeloom.operators import graph, medallion, quality, retrieval, temporal
+from lakeloom.operators import graph, medallion, quality, record_checks, retrieval, temporal
 from lakeloom.streaming import monitor
 
 
@@ -52,18 +53,39 @@ def records(spark, tmp_path):
 
 
 def test_medallion(spark, tmp_path):
-    raw = medallion.bronze(records(spark, tmp_path), "d", "l")
-    rows = medallion.silver(raw)
-    found = {r["paper_id"]: r for r in rows.collect()}
-    assert len(found) == 3
+    base = "https://x.example/"
+    tables = medallion.medallion(spark, records(spark, tmp_path), str(tmp_path / "out"), base)
+    found = {r["paper_openalex_id"]: r for r in tables["silver"].collect()}
+    assert len(found) == 3 and {r["paper_id"] for r in found.values()} == {base + "W1", base + "W2", None}
     assert found["W1"]["title"] == "Data at Scale" and found["W1"]["quality_flags"] == [] and found["W1"]["doi"] == "https://doi.org/10.1/a"
     assert found["W2"]["quality_flags"] == ["missing_title", "missing_abstract", "missing_authorships", "malformed_publication_date"]
     assert found[None]["quality_flags"] == ["missing_id", "missing_title", "missing_abstract", "missing_authorships", "publication_year_mismatch"]
-    tables = medallion.gold(rows)
-    assert [tuple(r) for r in tables["author_publications"].collect()] == [("W1", 0, "A1", "B")]
-    assert [tuple(r) for r in tables["citation_edges"].collect()] == [("W1", "W2")]
-    assert [tuple(r) for r in tables["topics"].collect()] == [("W1", "T1", "t", None, "f", None)]
-    assert tables["publications"].count() == 3
+    assert [tuple(r) for r in tables["author_publications"].collect()] == [(base + "W1", 0, base + "A1", "B")]
+    assert [tuple(r) for r in tables["citation_edges"].collect()] == [(base + "W1", base + "W2")]
+    assert [tuple(r) for r in tables["topics"].collect()] == [(base + "W1", base + "T1", "t", None, "f", None)]
+    assert tables["publications"].count() == 3 and "authorships" not in tables["publications"].columns
+    assert medallion.accounting(tables["silver"]).first() == (3, 2, 1)
+    assert set(tables["bronze"].columns) >= {"_bronze_ingested_at_utc", "_source_dataset", "_source_license"}
+
+
+def test_record_checks(spark):
+    good = {"id": "https://x.example/W1", "doi": "10.1/a", "title": "t", "publication_date": "2024-02-03", "publication_year": 2024, "cited_by_count": 1, "language": "en",
+            "abstract_inverted_index": {"a": [0]}, "referenced_works": ["r"], "authorships": [{"author": {"id": "a"}}, {"author": None}], "primary_location": {"source": {"id": "s"}},
+            "locations": [], "concepts": [], "topics": [], "open_access": {}}
+    bad = {"id": "W", "doi": "x", "title": " ", "publication_date": "2024-13-03", "publication_year": "2024", "cited_by_count": -1, "abstract_inverted_index": {"a": ["0"]},
+           "referenced_works": {"a": 1}, "authorships": {"b": 1}, "primary_location": [], "locations": {}, "concepts": {}, "topics": {}, "open_access": [], "extra": 1}
+    twice = {**good, "referenced_works": ["r", "r", "https://x.example/W1"], "authorships": [{"author": {"id": "a"}}, {"author": {"id": "a"}}], "publication_year": 2023, "publication_date": "2025-01-01"}
+    lines = spark.createDataFrame([(json.dumps(r),) for r in (good, bad, twice)], "value string")
+    found = {r["name"]: r for r in record_checks.record_checks(lines, [*good, "grants"], r"^https://x\.example/W\d+$", date(2024, 6, 1)).collect()}
+    assert len(found) == 31 == len(record_checks.CHECKS)
+    ones = {n for n, r in found.items() if r["count"] == 1}
+    assert {n for n in found if n.startswith("malformed_")} <= ones and {"duplicate_references_within_paper", "duplicate_author_ids_within_paper", "self_references", "future_publication_dates",
+            "publication_year_mismatch", "invalid_publication_year", "invalid_cited_by_count", "missing_titles", "missing_language", "missing_primary_source", "authorship_entries_missing_author_id"} <= ones
+    assert found["duplicate_ids"]["count"] == 2 and found["authorship_entries_missing_author_id"]["denominator"] == 4
+    assert found["missing_expected_fields"]["examples"] == ["grants"] and found["unexpected_fields"]["examples"] == ["extra"]
+    assert found["missing_titles"]["examples"] == ["W"] and found["missing_ids"]["status"] == "pass" and found["missing_titles"]["percentage"] == 33.33
+    none = record_checks.record_checks(lines.where("false"), ["id"], "x", date(2024, 6, 1)).where("status <> 'pass'").collect()
+    assert [r["name"] for r in none] == ["missing_expected_fields"]
 
 
 def test_file_monitor_reads_each_file_once(spark, tmp_path):
