@@ -23,24 +23,49 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("paper_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85, checkpoint_every: int = 4) -> DataFrame:
-    """paper_id, in_degree, pagerank after a fixed number of iterations; what dangling vertices hold is spread over all."""
-    nodes = checkpointed(degrees(edges))
+def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
+    """paper_id, in_degree, pagerank after a fixed number of iterations; what dangling vertices hold is spread over all.
+
+    Edges are written once and ranks after each step, so that the plan of a step does not hold those before it.
+    """
+    edges = checkpointed(edges)
+    nodes = degrees(edges)
     size = nodes.agg(F.count("*").alias("size"))
-    ranks = nodes.crossJoin(F.broadcast(size)).withColumn("pagerank", 1.0 / F.col("size"))
-    for step in range(1, iterations + 1):
+    ranks = checkpointed(nodes.crossJoin(F.broadcast(size)).withColumn("pagerank", 1.0 / F.col("size")))
+    for _ in range(iterations):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("pagerank"))), F.lit(0.0)).alias("lost"))
         sent = edges.join(ranks.where("out_degree > 0").select("paper_id", (F.col("pagerank") / F.col("out_degree")).alias("share")), "paper_id")
         gained = sent.groupBy(F.col("referenced_paper_id").alias("paper_id")).agg(F.sum("share").alias("gain"))
-        ranks = ranks.join(gained, "paper_id", "left").crossJoin(F.broadcast(lost)).select(
-            "paper_id", "out_degree", "in_degree", "size",
-            ((1 - damping) / F.col("size") + damping * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") / F.col("size"))).alias("pagerank"),
-        )
-        if step % checkpoint_every == 0:
-            ranks = checkpointed(ranks)
+        flow = damping * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") / F.col("size"))
+        ranks = ranks.join(gained, "paper_id", "left").crossJoin(F.broadcast(lost))
+        ranks = checkpointed(ranks.select("paper_id", "out_degree", "in_degree", "size", ((1 - damping) / F.col("size") + flow).alias("pagerank")))
     return ranks.select("paper_id", "in_degree", "pagerank")
 
 
+def induced(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """The distinct edges of the sampled papers (paper_id) that end in one of them; edges start there already."""
+    return edges.join(sampled.select(F.col("paper_id").alias("referenced_paper_id")).distinct(), "referenced_paper_id", "left_semi").select("paper_id", "referenced_paper_id").distinct()
+
+
+def sample_degrees(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """paper_id, out_degree_full, out_degree_in_sample, in_degree_in_sample and in_sample of every sampled or cited paper."""
+    inside = induced(edges, sampled)
+    one, none = F.lit(1), F.lit(0)
+    rows = sampled.select("paper_id", none.alias("f"), none.alias("o"), none.alias("i"), one.alias("s")).distinct()
+    for part in ((edges.select("paper_id", one, none, none, none)), edges.select("referenced_paper_id", none, none, none, none), inside.select("paper_id", none, one, none, none), inside.select("referenced_paper_id", none, none, one, none)):
+        rows = rows.union(part)
+    counts = rows.groupBy("paper_id").agg(F.sum("f").alias("out_degree_full"), F.sum("o").alias("out_degree_in_sample"), F.sum("i").alias("in_degree_in_sample"), F.max("s").alias("s"))
+    return counts.withColumn("in_sample", F.col("s") == 1).drop("s")
+
+
+def graph_summary(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """One row: vertices, sampled papers, edges, edges in the sample, and external ones."""
+    return sample_degrees(edges, sampled).agg(
+        F.count("*").alias("vertices"), F.count_if("in_sample").alias("sampled"), F.sum("out_degree_full").alias("edges"), F.sum("out_degree_in_sample").alias("edges_in_sample"),
+        (F.sum("out_degree_full") - F.sum("out_degree_in_sample")).alias("external_edges"),
+    )
+
+
 def unusual(ranked: DataFrame, top: int = 25) -> DataFrame:
     """The `top` vertices by PageRank for their in-degree, ties by id."""
     ratio = F.col("pagerank") / (F.col("in_degree") + 1)
@@ -54,14 +79,27 @@ def coauthor_edges(authorships: DataFrame) -> DataFrame:
     return left.join(right, "paper_id").where("author_a < author_b").groupBy("author_a", "author_b").agg(F.count("*").alias("shared_count"))
 
 
-def author_metrics(authorships: DataFrame, edges: DataFrame) -> DataFrame:
-    """Publications, solo publications, collaborators and weighted degree of each author; zeros without collaborators."""
-    rows = authorships.where("paper_id is not null and author_id is not null").select("paper_id", "author_id").distinct()
-    sizes = rows.groupBy("paper_id").agg(F.count("*").alias("n"))
-    own = rows.join(sizes, "paper_id").groupBy("author_id").agg(F.count("*").alias("publications"), F.count_if(F.col("n") == 1).alias("solo"))
-    both = edges.select(F.col("author_a").alias("author_id"), "shared_count").union(edges.select("author_b", "shared_count"))
+def collaborations(signed: DataFrame) -> DataFrame:
+    """author_id_a < author_id_b, their names, shared_publication_count and shared_publication_ids (sorted); signed has
+    paper_id, author_id, author_name.  A pair under two names is two rows, as their names are part of the key."""
+    rows = signed.where("paper_id is not null and author_id is not null").select("paper_id", "author_id", "author_name").distinct()
+    left, right = (rows.toDF("paper_id", f"author_id_{x}", f"author_name_{x}") for x in "ab")
+    pairs = left.join(right, "paper_id").where("author_id_a < author_id_b")
+    ids = F.array_sort(F.collect_set("paper_id"))
+    return pairs.groupBy("author_id_a", "author_name_a", "author_id_b", "author_name_b").agg(F.countDistinct("paper_id").alias("shared_publication_count"), ids.alias("shared_publication_ids"))
+
+
+def author_metrics(signed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Publications, solo publications, average position, collaborators and weighted degree of each author, zeros without
+    collaborators; signed has paper_id, author_id, author_position, edges author_a, author_b, shared_count."""
+    rows = signed.where("paper_id is not null and author_id is not null")
+    sizes = rows.select("paper_id", "author_id").distinct().groupBy("paper_id").agg(F.count("*").alias("n"))
+    own = rows.join(sizes, "paper_id").groupBy("author_id", "paper_id", "n").agg(F.sum("author_position").alias("at"), F.count("*").alias("times"))
+    own = own.groupBy("author_id").agg(F.count("*").alias("publications"), F.count_if(F.col("n") == 1).alias("solo"), (F.sum("at") / F.sum("times")).alias("avg_position"))
+    both = edges.select(F.col("author_a").alias("author_id"), F.col("author_b").alias("other"), "shared_count").unionByName(edges.select(F.col("author_b").alias("author_id"), F.col("author_a").alias("other"), "shared_count"))
     links = both.groupBy("author_id").agg(F.count("*").alias("collaborators"), F.sum("shared_count").alias("weighted_degree"), F.max("shared_count").alias("strongest"))
-    return own.join(links, "author_id", "left").fillna(0, ["collaborators", "weighted_degree", "strongest"])
+    out = own.join(links, "author_id", "left").fillna(0, ["collaborators", "weighted_degree", "strongest"])
+    return out.withColumn("collaborations_per_publication", F.col("weighted_degree") / F.col("publications"))
 
 
 def density(authorships: DataFrame, edges: DataFrame) -> DataFrame:

@@ -19,14 +19,19 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return parts.withColumn("__row", within).join(F.broadcast(shift), "__part").withColumn("position", F.col("__row") + F.col("__shift")).select(*df.columns, "position")
 
 
-def batch_metrics(rows: DataFrame, size: int, missing: dict[str, F.Column]) -> DataFrame:
-    """batch_id, first and last position, records and, for each name in missing, how many rows it holds for and their rate."""
+def batch_metrics(rows: DataFrame, size: int, missing: dict[str, F.Column], averages: tuple[str, ...] = (), year: str | None = None, key: str | None = None) -> DataFrame:
+    """batch_id, first and last position, records (distinct keys, if key is given) and, for each name in missing, how many
+    rows it holds for and their rate; with `averages` avg_<name> of columns, with `year` its range and the simulated
+    event time of the batch, the first of January of its first year."""
     if size <= 0:
         raise ValueError("the batch size must be positive")
     batches = rows.withColumn("batch_id", F.floor((F.col("position") - 1) / size))
-    counts = [F.count_if(c).alias(f"missing_{n}") for n, c in missing.items()]
-    out = batches.groupBy("batch_id").agg(F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.count("*").alias("records"), *counts)
-    return out.withColumns({f"{n}_rate": F.col(f"missing_{n}") / F.col("records") for n in missing})
+    counts = [F.count_if(c).alias(f"missing_{n}") for n, c in missing.items()] + [F.avg(c).alias(f"avg_{c}") for c in averages]
+    counts += [F.min(year).alias("first_year"), F.max(year).alias("last_year")] if year else []
+    records = F.countDistinct(key) if key else F.count("*")
+    out = batches.groupBy("batch_id").agg(F.min("position").alias("first_position"), F.max("position").alias("last_position"), records.alias("records"), *counts)
+    out = out.withColumn("event_time", F.try_make_timestamp(F.col("first_year").cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))) if year else out
+    return out.withColumns({f"{n}_rate": F.try_divide(f"missing_{n}", "records") for n in missing})
 
 
 def alerts(metrics: DataFrame, thresholds: dict[str, tuple[float, str]]) -> DataFrame:
@@ -51,3 +56,21 @@ def file_metrics(rows: DataFrame) -> DataFrame:
         F.count("*").alias("records"), F.count_if(F.coalesce(F.trim("title") == "", F.lit(True))).alias("missing_titles"),
         F.count_if(F.coalesce(F.size("authorships") <= 0, F.lit(True))).alias("missing_authors"), F.min("publication_year").alias("first_year"), F.max("publication_year").alias("last_year"),
     )
+
+
+def arrivals(spark, folder: str, schema, checkpoint: str, ready: bool = True) -> dict:
+    """One look at the folder: status `blocked` where the environment is not ready, `empty` where no file waits (no job is
+    started then), else `success`, with the metrics of the files that arrived since the last look and their totals."""
+    report = {"status": "blocked", "file_count": 0, "record_count": 0, "missing_title_rate": 0.0, "missing_author_rate": 0.0, "files": []}
+    if not ready:
+        return report
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(hadoop) if s.isFile()] if system.exists(hadoop) else []
+    if not [n for n in names if n.endswith((".json", ".jsonl"))]:
+        return {**report, "status": "empty"}
+    files: list[dict] = []
+    watch_files(spark, folder, schema, checkpoint, lambda rows, batch: files.extend(r.asDict() for r in file_metrics(rows).orderBy("file_name").collect()))  # a row a file
+    n = sum(f["records"] for f in files)
+    rates = {f"missing_{k}_rate": sum(f[f"missing_{k}s"] for f in files) / n if n else 0.0 for k in ("title", "author")}
+    return {"status": "success", "file_count": len(files), "record_count": n, **rates, "files": files}

@@ -101,6 +101,17 @@ def test_file_monitor_reads_each_file_once(spark, tmp_path):
     assert seen == [("b.json", 3, 2, 2, 2023, 2024), ("a.json", 3, 2, 2, 2023, 2024)]
 
 
+def test_arrivals(spark, tmp_path):
+    inbox, check = tmp_path / "inbox", str(tmp_path / "check")
+    assert monitor.arrivals(spark, str(inbox), medallion.RAW, check, ready=False)["status"] == "blocked"
+    assert monitor.arrivals(spark, str(inbox), medallion.RAW, check)["status"] == "empty"
+    inbox.mkdir()
+    (inbox / "a.jsonl").write_text("\n".join(map(json.dumps, RECORDS)))
+    got = monitor.arrivals(spark, str(inbox), medallion.RAW, check)
+    assert got["status"] == "success" and got["record_count"] == 3 and got["missing_title_rate"] == pytest.approx(2 / 3)
+    assert monitor.arrivals(spark, str(inbox), medallion.RAW, check)["file_count"] == 0
+
+
 def test_numbering_and_alerts(spark):
     rows = monitor.numbered(spark.range(1000).withColumn("k", F.col("id") % 7), "k", "id")
     got = [(r.k, r.id) for r in rows.orderBy("position").collect()]
@@ -128,7 +139,14 @@ def test_graph(spark):
     signed = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)], "paper_id int, author_id int")
     pairs = graph.coauthor_edges(signed)
     assert [tuple(r) for r in pairs.collect()] == [(1, 2, 2)]
-    assert sorted(tuple(r) for r in graph.author_metrics(signed, pairs).collect()) == [(1, 2, 0, 1, 2, 2), (2, 2, 0, 1, 2, 2), (3, 1, 1, 0, 0, 0)]
+    placed = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0), (3, 3, 0)], "paper_id int, author_id int, author_position int")
+    assert sorted(tuple(r) for r in graph.author_metrics(placed, pairs).collect()) == [(1, 2, 0, 0.5, 1, 2, 2, 1.0), (2, 2, 0, 0.5, 1, 2, 2, 1.0), (3, 1, 1, 0.0, 0, 0, 0, 0.0)]
+    named = signed.withColumn("author_name", F.concat(F.lit("n"), F.col("author_id")))
+    assert [tuple(r) for r in graph.collaborations(named).collect()] == [(1, "n1", 2, "n2", 2, [1, 2])]
+    sampled = spark.createDataFrame([(1,), (3,), (9,)], "paper_id int")
+    found = {r.paper_id: tuple(r)[1:] for r in graph.sample_degrees(edges.where("paper_id in (1, 3)"), sampled).collect()}
+    assert found == {1: (1, 0, 0, True), 2: (0, 0, 0, False), 3: (1, 0, 0, True), 9: (0, 0, 0, True)}
+    assert graph.graph_summary(edges.where("paper_id in (1, 3)"), sampled).first() == (4, 3, 2, 0, 2)
     assert graph.density(signed, pairs).first()["density"] == pytest.approx(1 / 3)
 
 
