@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Fixed values: (verdict, host, start of path); the longest that fits wins.
 RULES = [
     ("block", "com", "/en/"),
@@ -76,9 +78,9 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     Outcomes are first summed by host, so a host with a third of all rows is one row from then on.
     """
     hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = cut(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))  # and each level: the next ones read it twice
     totals = F.sum("n").alias("n"), F.sum("bad").alias("bad")
-    domains = hosts.groupBy("domain", "suffix").agg(*totals)
+    domains = cut(hosts.groupBy("domain", "suffix").agg(*totals))
     suffixes = domains.groupBy("suffix").agg(*totals)
     overall = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("prior"))
 
@@ -87,11 +89,11 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
         s = F.col("strength")
         return level.crossJoin(F.broadcast(by)).withColumn("rate", (F.col("bad") + s * F.col("prior")) / (F.col("n") + s))
 
-    top = suffixes.crossJoin(F.broadcast(overall))
+    top = cut(suffixes.crossJoin(F.broadcast(overall)))
     top = shrunk(top, strength(top, "n", "bad", "prior"))
-    mid = domains.join(top.select("suffix", F.col("rate").alias("prior")), "suffix")
+    mid = cut(domains.join(top.select("suffix", F.col("rate").alias("prior")), "suffix"))
     mid = shrunk(mid, strength(mid, "n", "bad", "prior"))
-    low = hosts.join(mid.select("domain", "suffix", F.col("rate").alias("prior")), ["domain", "suffix"])
+    low = cut(hosts.join(mid.select("domain", "suffix", F.col("rate").alias("prior")), ["domain", "suffix"]))
     low = shrunk(low, strength(low, "n", "bad", "prior"))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("strength") + 1))
     return low.select("host", "n", "bad", "rate", F.greatest(F.lit(0.0), F.col("rate") - z * sd).alias("low"), F.least(F.lit(1.0), F.col("rate") + z * sd).alias("high"))

@@ -128,7 +128,7 @@ def with_next(docs: DataFrame, derive: dict[str, Column], per_range: int = 500)
     part = range_of(F.col("doc_id"), starts)
     host = F.struct(part.alias("part"), F.when(F.col("doc_id").isNull(), 2).otherwise(0).alias("guest"))
     visit = F.struct(F.pmod(part - 1, F.lit(max(1, len(starts)))).alias("part"), F.lit(1).alias("guest"))
-    begins = F.coalesce(F.array_contains(F.lit(starts).cast("array<bigint>"), F.col("doc_id")), F.lit(False)) if starts else F.lit(False)
+    begins = F.coalesce(F.get(F.lit(starts).cast("array<bigint>"), part) == F.col("doc_id"), F.lit(False)) if starts else F.lit(False)
     dealt = docs.withColumn("seat", F.explode(F.when(begins, F.array(host, visit)).otherwise(F.array(host))))
     dealt = dealt.select("doc_id", "text", "seat.part", "seat.guest").repartition("part").withColumns(derive)
     order = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
