@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from lakeloom.llm import near_dedup
 from lakeloom.llm.near_dedup import drop_near_duplicates, first_shared, near_duplicates, segments
 
 SCHEMA = "doc_id bigint, text string"
@@ -139,6 +140,32 @@ def test_recall_of_near_copies(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_stage_finds_copies_far_apart_in_bits(spark):
+    """Short texts with a word or two more, many of whose SimHashes are over 7 bits apart, go exactly as all pairs of shingles say."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = []
+    for g in range(150):
+        base = [word() for _ in range(rng.randrange(8, 25))]
+        rows += [(g * 3, " ".join(base)), (g * 3 + 1, " ".join([*base, word()])), (g * 3 + 2, " ".join([word(), *base, word()]))]
+    kept = sorted((r[0] for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=str)
+    assert kept == plain_kept(rows) and len(kept) < 300
+
+
+def test_stage_finds_chains_in_large_buckets(spark, monkeypatch):
+    """Texts that slide over one long text by a few words share shingles in buckets of many, and a passage stands in all."""
+    rng = random.Random(32)
+    words = ["v%d" % i for i in range(400)]
+    passage = " ".join("p%d" % i for i in range(12))
+    rows = [(i, " ".join(words[s : s + 60])) for i, s in enumerate(range(0, 340, 4))] + [(500, " ".join(words[:30] + ["z"] + words[31:60]))]
+    rows += [(1000 + i, passage + " " + " ".join("q%d" % rng.randrange(9000) for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 30, 31] * 15)]
+    want = plain_kept(rows)
+    for large in (4, 256):
+        monkeypatch.setattr(near_dedup, "LARGE_BUCKET", large)
+        assert sorted((r[0] for r in drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=str) == want
+    assert 40 < len(want) < len(rows) - 50
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(df).collect() == [] and drop_near_duplicates(df).collect() == []
