@@ -5,8 +5,9 @@ short line, and in one of a script without spaces, its runs of CHARS characters.
 further if their 64-bit SimHashes differ in at most `distance` bits, and are linked if their edit similarity is high
 enough.  Links are closed to groups and the first occurrence of a group stays.
 
-The blocks are BANDS bands of ROWS minima of hashed pairs of units.  Pieces of the SimHash itself do not serve: lines of
-edit similarity 0.8 differ in up to 16 bits and more, so that of 64 bits no block wide enough to tell lines apart is sure to agree.
+The SimHash is cut into BLOCKS blocks: of two that differ in fewer than BLOCKS bits, one block is sure to agree, so all
+such lines are compared.  Lines of edit similarity 0.8 differ in up to 16 bits and more, which no block wide enough to
+tell lines apart outlasts, so lines also meet in BANDS bands of ROWS minima of hashed pairs of units.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from .common import connected_components, cut, fresh, let, map_batches, pieces,
 #: ASCII: letters lower-cased, digits and line feeds as they are, all else white space; other bytes stay.
 PLAIN = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 or b == 0x0A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 FILTER_BITS = 25  # of the bitmap that says which lines' texts are wanted: 4 MB whatever the corpus
+BLOCKS = 4  # of the SimHash; lines that meet in one are taken further if fewer bits than that differ
 BANDS, ROWS = 16, 3
+MOST_MARKED = 4096  # lines of a bucket up to which close ones are told from the rest before they are searched
 CHARS = 4
 FEW_WORDS, LONG_WORD = 12, 12  # a line of fewer words, or of longer ones on average, is read by characters
 SEGMENT = 1 << 18  # bytes of lines whose units are hashed at once
@@ -200,25 +203,65 @@ def features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return sims, keys
 
 
+def block_keys(sim: Column) -> Column:
+    """The keys of the blocks of a SimHash, which are above those of the bands."""
+    width = 64 // BLOCKS
+    parts = [F.shiftrightunsigned(sim, width * i).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(BANDS + 1 + i << 32) for i in range(BLOCKS)]
+    return F.array(*parts)
+
+
+def close_rows(s: np.ndarray, run: np.ndarray, most: int) -> np.ndarray:
+    """Which SimHashes have another one in their run, equal numbers that follow each other, at most so many bits apart; all
+    of a run over MOST_MARKED."""
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
+    sizes = np.diff(np.r_[starts, len(run)])
+    ends, out = np.repeat(starts + sizes, sizes), np.repeat(sizes > MOST_MARKED, sizes)
+    i = np.flatnonzero(~out)
+    for d in range(1, MOST_MARKED):
+        i = i[i + d < ends[i]]
+        if not len(i):
+            break
+        near = i[np.bitwise_count(s[i] ^ s[i + d]) <= most]
+        out[near] = out[near + d] = True
+    return out
+
+
+def close_in_blocks(s: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """close_rows of fewer than BLOCKS bits in the buckets of blocks, whose other bits are cut into BLOCKS parts in turn: only
+    SimHashes that agree in one of these too are compared, so that a large bucket is not compared with itself."""
+    out, width = np.zeros(len(s), bool), 64 // BLOCKS
+    part = (64 - width) // BLOCKS
+    turn = ((key >> 32) - BANDS).astype(np.uint64) * np.uint64(width)  # after the block, around to it
+    rest = np.where(turn < 64, s >> (turn & np.uint64(63)) | s << (np.uint64(64) - turn & np.uint64(63)), s)
+    bucket = np.cumsum(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    for i in range(BLOCKS):
+        run = bucket << part | (rest >> np.uint64(part * i) & np.uint64((1 << part) - 1)).astype(np.int64)
+        order = np.argsort(run, kind="stable")
+        out[order] |= close_rows(s[order], run[order], BLOCKS - 1)
+    return out
+
+
 def close_sets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sim) of the SimHashes that chains of at most `distance` bits join in a bucket of rows (key, sim), which
-    come sorted.  The new key stands for the set of them, so that a set that meets in several buckets is verified once."""
+    """Rows (key, sim, size) of the SimHashes that chains of at most `distance` bits, or fewer than BLOCKS in a block, join in a
+    bucket of rows (key, sim), which come sorted.  The new key stands for the set of them, so that a set that meets in
+    several buckets is verified once."""
     for table in whole_groups(batches):
         key, sim = (table.column(i).to_numpy() for i in range(2))
         new = np.r_[True, (key[1:] != key[:-1]) | (sim[1:] != sim[:-1])]
         key, s = key[new], sim[new].view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        block = key >= BANDS + 1 << 32
+        close = np.empty(len(key), bool)
+        close[~block], close[block] = close_rows(s[~block], key[~block], distance), close_in_blocks(s[block], key[block])
+        key, s, most = key[close], s[close], np.where(block[close], min(BLOCKS - 1, distance), distance)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         sizes = np.diff(np.r_[starts, len(key)])
-        sets: list[list[int]] = []
-        pair = starts[sizes == 2]
-        close = np.bitwise_count(s[pair] ^ s[pair + 1]) <= distance
-        sets += [[i, i + 1] for i in pair[close].tolist()]
+        sets: list[list[int]] = [[i, i + 1] for i in starts[sizes == 2].tolist() if (int(s[i]) ^ int(s[i + 1])).bit_count() <= most[i]]
         for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             rest = np.arange(start, start + size)
             while len(rest) > 1:
                 members, queue, rest = [rest[0]], [rest[0]], rest[1:]
                 while queue and len(rest):
-                    near = np.bitwise_count(s[rest] ^ s[queue.pop()]) <= distance
+                    near = np.bitwise_count(s[rest] ^ s[queue.pop()]) <= most[start]
                     if near.any():
                         found = rest[near].tolist()
                         members += found
@@ -229,7 +272,15 @@ def close_sets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.
         at = [np.sort(s[x]) for x in sets]
         keys = [signed(xxhash.xxh64_intdigest(x.tobytes(), 5)) for x in at]
         flat = np.concatenate(at) if at else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in at])), pa.array(flat.view(np.int64))], ["key", "sim"])
+        many = np.array([len(x) for x in at], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), many)), pa.array(flat.view(np.int64)), pa.array(np.repeat(many, many))], ["key", "sim", "size"])
+
+
+def widest(sets: DataFrame) -> DataFrame:
+    """Rows (key, sim) of the sets (key, sim, size) less those within another: all of whose members have it as their largest."""
+    home = sets.groupBy("sim").agg(F.max(F.struct("size", "key")).alias("home")).select("sim", F.col("home.key").alias("home"))
+    within = sets.join(home, "sim").groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low = high and low <> key")
+    return sets.join(within, "key", "left_anti").select("key", "sim")
 
 
 def verified_links(batches: Iterator[pa.RecordBatch], distance: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -366,9 +417,11 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, least: float = LEAST,
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print", "line_no")
     distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("n")))
     banded = lines.where("bands is not null").select("sim", F.posexplode("bands").alias("band", "key"))
-    keyed = banded.select((F.col("band") * F.lit(1 << 32) + F.col("key")).alias("key"), "sim").repartition("key").sortWithinPartitions("key", "sim")
-    shared = distinct.where("sim is not null").groupBy("sim").agg(F.count("*").alias("m")).where("m > 1").select(F.xxhash64("sim").alias("key"), "sim")
-    meet = cut(map_batches(keyed, lambda b: close_sets(b, distance), "key bigint, sim bigint").union(shared).distinct())
+    keyed = banded.select((F.col("band") * F.lit(1 << 32) + F.col("key")).alias("key"), "sim")
+    blocked = distinct.where("sim is not null").select("sim").distinct().select(F.explode(block_keys(F.col("sim"))).alias("key"), "sim")
+    keyed = keyed.union(blocked).repartition("key").sortWithinPartitions("key", "sim")
+    shared = distinct.where("sim is not null").groupBy("sim").agg(F.count("*").alias("m")).where("m > 1").select(F.xxhash64("sim").alias("key"), "sim", F.lit(1).cast("bigint").alias("size"))
+    meet = widest(cut(map_batches(keyed, lambda b: close_sets(b, distance), "key bigint, sim bigint, size bigint").union(shared).distinct()))
     active = cut(distinct.join(meet, "sim").select("key", "h", "sim"))
     wanted = np.frombuffer(bitmap(active), np.uint8)
 
@@ -420,7 +473,7 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, least: float = LEAST,
     n_lines and dropped of docs, if it has them, are replaced; an empty table gives an empty result.
 
     Scale: texts are scanned twice without a shuffle and shuffled once, to meet their dropped lines; a line costs 36
-    bytes, a distinct line BANDS keys of 16 bytes.  What is broadcast is a bitmap of fixed size and MOST_HOT rows.
+    bytes, a distinct line BANDS + BLOCKS keys of 16 bytes.  What is broadcast is a bitmap of fixed size and MOST_HOT rows.
     """
     return without_lines(docs.select(*[c for c in docs.columns if c not in ("n_lines", "dropped")]), "n_lines", "dropped", distance, least, least_words)
 

@@ -232,3 +232,49 @@ def test_query_joins_short_lines_and_scripts_without_spaces(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["dropped"] for r in op3_line_dedup(spark, str(tmp_path)).collect()}
     assert found == {0: "", 1: "0", 2: "0,1,3", 3: "2"}  # "Page 12" is not "page 34"
+
+
+def test_blocks_bring_every_close_pair_together(spark, tmp_path, monkeypatch):
+    """Lines whose SimHashes differ in at most 3 bits meet though no band of minima does."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10)))
+    lines = []
+    while len(lines) < 80:
+        base = [word() for _ in range(90)]
+        other = [word() if i % 18 == 9 else x for i, x in enumerate(base)]
+        sims = features([" ".join(x).encode() for x in (base, other)])[0].view(np.uint64)
+        if int(sims[0] ^ sims[1]).bit_count() <= 3:
+            lines += [" ".join(base), " ".join(other)]
+    plain = features
+
+    def apart(some):
+        sims, keys = plain(some)
+        return sims, (np.arange(keys.size) + hash(some[0] if some else b"") % 2**30).astype(np.int32).reshape(keys.shape)
+
+    monkeypatch.setattr(line_dedup, "features", apart)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").coalesce(1)
+    assert sorted(r["doc_id"] for r in dedup_lines(docs).collect() if r["dropped"]) == list(range(1, 80, 2))
+
+
+def test_block_keys_are_pieces_of_the_simhash(spark):
+    sims = [0, -1, 0x1234_5678_9ABC_DEF0, -(1 << 63)]
+    rows = spark.createDataFrame([(x,) for x in sims], "sim bigint").select("sim", line_dedup.block_keys(F.col("sim")).alias("keys")).collect()
+    assert {r["sim"]: r["keys"] for r in rows} == {x: [(x >> 16 * i & 0xFFFF) + (line_dedup.BANDS + 1 + i << 32) for i in range(4)] for x in sims}
+
+
+def test_sets_within_another_are_verified_once(spark):
+    sets = {1: [10, 11, 12], 2: [10, 11], 3: [12], 4: [12, 13], 5: [20]}
+    df = spark.createDataFrame([(k, s, len(x)) for k, x in sets.items() for s in x], "key bigint, sim bigint, size bigint")
+    assert sorted(map(tuple, line_dedup.widest(df).collect())) == sorted((k, s) for k in (1, 4, 5) for s in sets[k])
+
+
+def test_close_rows_of_blocks_are_all_found():
+    """Pairs of at most 3 differing bits, among others, in the buckets of each block, against all comparisons."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, np.uint64) * np.uint64(2)
+    near = [x ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for x in base for n in (1, 3, 4)]
+    sims = np.unique(np.r_[base, np.array(near, np.uint64)])
+    rows = sorted(((line_dedup.BANDS + 1 + i << 32) + (int(x) >> 16 * i & 0xFFFF), int(x)) for x in sims for i in range(4))
+    key, s = np.array([k for k, _ in rows]), np.array([x for _, x in rows], np.uint64)
+    want = [any(k == m and x != y and (x ^ y).bit_count() <= 3 for m, y in rows) for k, x in rows]
+    assert line_dedup.close_in_blocks(s, key).tolist() == want and 100 < sum(want) < len(want)
