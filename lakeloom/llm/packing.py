@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, held, map_batches
 
-CACHED_CHUNKS = 100_000  # chunks that a worker remembers; it forgets all of them beyond that
+CACHED_CHUNKS = 250_000  # chunks that a worker remembers; it forgets all of them beyond that
 CACHED_CHARS = 48  # longer chunks are not remembered
 MOST_BROADCAST_SLOTS = 100_000
 #: Fixed value: how byte-level BPE of this kind splits a text before merging.
