@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ FILTER_BITS = 25  # of the bitmap that says which lines' texts are wanted: 4 MB
 BLOCKS = 4  # of the SimHash; lines that meet in one are taken further if fewer bits than that differ
 BANDS, ROWS = 16, 3
 MOST_MARKED = 4096  # lines of a bucket up to which close ones are told from the rest before they are searched
+MOST_TOGETHER = 5000  # SimHashes in sets that overlap one set, up to which these are searched together
 CHARS = 4
 FEW_WORDS, LONG_WORD = 12, 12  # a line of fewer words, or of longer ones on average, is read by characters
 SEGMENT = 1 << 18  # bytes of lines whose units are hashed at once
@@ -278,33 +280,70 @@ def close_sets(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.
 
 def widest(sets: DataFrame) -> DataFrame:
     """Rows (key, sim) of the sets (key, sim, size) less those within another: all of whose members have it as their largest."""
-    home = sets.groupBy("sim").agg(F.max(F.struct("size", "key")).alias("home")).select("sim", F.col("home.key").alias("home"))
-    within = sets.join(home, "sim").groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low = high and low <> key")
-    return sets.join(within, "key", "left_anti").select("key", "sim")
+    return dealt(sets).select("key", "sim")
+
+
+def dealt(sets: DataFrame) -> DataFrame:
+    """Rows (key, sim, place) of the widest of the sets (key, sim, size).  Sets that overlap the same large set have it as
+    their place, where their common pairs are compared once; sets of a place with too many rows have one each."""
+    home = sets.groupBy("sim").agg(F.max(F.struct("size", "key")).alias("home"))
+    homes = sets.join(home, "sim").groupBy("key").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count("*").alias("n"))
+    wide = cut(homes.where("low <> high or high.key = key").select("key", F.col("high.key").alias("place"), "n"))
+    full = wide.groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") > MOST_TOGETHER).select("place", F.lit(True).alias("full"))
+    places = wide.join(full, "place", "left").select("key", F.when(F.col("full"), F.col("key")).otherwise(F.col("place")).alias("place"))
+    return sets.join(places, "key").select("key", "sim", "place")
 
 
 def verified_links(batches: Iterator[pa.RecordBatch], distance: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of line hashes among rows (key, h, sim, text) sorted by key.  Each group is searched outwards, so
-    that what is already linked is not compared again; what comes out joins the same lines as all similar pairs do."""
+    """Links (a, b) of line hashes among rows (place, h, sim, keys, text) sorted by place; keys names the sets that a line is
+    in.  What comes out joins the same lines as all similar pairs within the sets do."""
     for table in whole_groups(batches):
-        key, h, sim = (table.column(i).to_numpy() for i in range(3))
-        texts, s = table.column(3).to_pylist(), sim.view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        place, h, sim = (table.column(i).to_numpy() for i in range(3))
+        texts, keys = table.column(4).to_pylist(), table.column(3).combine_chunks()
+        s, sizes = sim.view(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
+        rows, key = np.repeat(np.arange(len(h)), pc.list_value_length(keys).to_numpy()), keys.flatten().to_numpy()
+        order = np.lexsort((key, place[rows]))
+        rows, key = rows[order], key[order]
+        new = np.r_[True, place[rows[1:]] != place[rows[:-1]]]
+        starts = np.flatnonzero(new | np.r_[True, key[1:] != key[:-1]])
         links: list[tuple[int, int]] = []
-        for start, end in zip(starts, np.r_[starts[1:], len(key)]):
-            rest = np.arange(start, end)
-            while len(rest) > 1:
-                queue, rest = [rest[0]], rest[1:]
-                while queue and len(rest):
-                    here = queue.pop()
-                    near = rest[np.bitwise_count(s[rest] ^ s[here]) <= distance]
-                    new = [i for i in near if h[i] == h[here] or similar(texts[here], texts[i], least)]
-                    links += [(h[here], h[i]) for i in new]
-                    queue += new
-                    rest = np.setdiff1d(rest, new, assume_unique=True) if new else rest
+        label, groups = np.arange(len(h)), {}
+        apart: set[int] = set()
+        for start, end in zip(starts.tolist(), np.r_[starts[1:], len(rows)].tolist()):
+            if new[start]:
+                apart.clear()
+            links += [(h[a], h[b]) for a, b in search(rows[start:end], s, sizes, texts, label, groups, apart, distance, least)]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
+def search(rest: np.ndarray, s: np.ndarray, sizes: np.ndarray, texts: list[str], label: np.ndarray, groups: dict[int, list[int]], apart: set[int], distance: int, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs that join rows `rest` as all their similar pairs do.  The set is searched outwards.  Rows of equal label, which
+    groups lists where there are more than one, are joined already; of the rows in apart (a * number of rows + b, a < b), in
+    another set of the place, it is known that they are not similar."""
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            here = queue.pop()
+            most = (np.maximum(sizes[rest], sizes[here]) * (1 - least) + 1e-9).astype(np.int64)
+            near = (np.bitwise_count(s[rest] ^ s[here]) <= distance) & (abs(sizes[rest] - sizes[here]) <= most) & (label[rest] != label[here])
+            parts = parted(texts[here])
+            for i in rest[near].tolist():
+                pair = min(here, i) * len(texts) + max(here, i)
+                if label[i] == label[here] or pair in apart:
+                    continue
+                if not alike(parts, parted(texts[i]), least):
+                    apart.add(pair)
+                    continue
+                yield here, i
+                less, more = sorted((groups.pop(int(label[x]), [x]) for x in (here, i)), key=len)
+                label[less] = label[more[0]]
+                groups[int(label[more[0]])] = more
+                more += less
+            joined = label[rest] == label[here]
+            queue += rest[joined].tolist()
+            rest = rest[~joined]
+
+
 def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
     """Levenshtein distance in characters, or of lists in words, or most + 1 if it is larger; bit-parallel, common ends cut off first."""
     if abs(len(a) - len(b)) > most:
@@ -318,24 +357,20 @@ def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return min(most + 1, len(a) + len(b))
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    full = (1 << len(a)) - 1
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    up, down, score = full, 0, len(a)
+    up, down = full, 0  # the rises and falls down a column
     for i, c in enumerate(b):
         match = at.get(c, 0)
         diagonal = (((match & up) + up) ^ up) | match | down
         plus = down | ~(diagonal | up) & full
-        minus = diagonal & up
-        score += bool(plus & top) - bool(minus & top)
-        if score - (len(b) - 1 - i) > most:
-            return most + 1
         plus = (plus << 1 | 1) & full
-        minus = minus << 1 & full
-        up = minus | ~(diagonal | plus) & full
-        down = plus & diagonal
-    return min(most + 1, score)
+        up, down = (diagonal & up) << 1 & full | ~(diagonal | plus) & full, plus & diagonal
+        if i % 32 == 31 and 2 * (i + 1) + up.bit_count() - down.bit_count() - len(b) > most:
+            return most + 1
+    return min(most + 1, len(b) + up.bit_count() - down.bit_count())
 
 
 def aligned_cost(a: list[str], b: list[str], most: int) -> int:
@@ -360,18 +395,27 @@ def aligned_cost(a: list[str], b: list[str], most: int) -> int:
     return cost + len(rest) + sum(map(len, rest))
 
 
+def parted(line: str) -> tuple[str, list[str], set[str]]:
+    words = line.split(" ")
+    return line, words, set(words)
+
+
 def similar(a: str, b: str, least: float) -> bool:
+    return alike(parted(a), parted(b), least)
+
+
+def alike(one: tuple[str, list[str], set[str]], other: tuple[str, list[str], set[str]], least: float) -> bool:
     """Whether 1 - edit distance / length of the longer is at least `least`.  An alignment that costs no more decides
     first; where it costs more, the edit distance does.  Lines of FEW_WORDS and more ordinary words have no such
     similarity if by words, distinct or in order, they are less than `least` - WORDS_LESS alike."""
+    (a, p, distinct), (b, q, _) = one, other
     longer = max(len(a), len(b))
     most = int(longer * (1 - least) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    p, q = a.split(" "), b.split(" ")
     words = max(len(p), len(q))
     few = min(len(p), len(q)) < FEW_WORDS or longer > LONG_WORD * words
-    if not few and len(set(p).intersection(q)) < (least - WORDS_LESS) * len(set(p)) * len(q) / words - 1:
+    if not few and len(distinct.intersection(q)) < (least - WORDS_LESS) * len(distinct) * len(q) / words - 1:
         return False
     if aligned_cost(p, q, most) <= most:
         return True
@@ -421,8 +465,8 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, least: float = LEAST,
     blocked = distinct.where("sim is not null").select("sim").distinct().select(F.explode(block_keys(F.col("sim"))).alias("key"), "sim")
     keyed = keyed.union(blocked).repartition("key").sortWithinPartitions("key", "sim")
     shared = distinct.where("sim is not null").groupBy("sim").agg(F.count("*").alias("m")).where("m > 1").select(F.xxhash64("sim").alias("key"), "sim", F.lit(1).cast("bigint").alias("size"))
-    meet = widest(cut(map_batches(keyed, lambda b: close_sets(b, distance), "key bigint, sim bigint, size bigint").union(shared).distinct()))
-    active = cut(distinct.join(meet, "sim").select("key", "h", "sim"))
+    meet = dealt(cut(map_batches(keyed, lambda b: close_sets(b, distance), "key bigint, sim bigint, size bigint").union(shared).distinct()))
+    active = cut(distinct.join(meet, "sim").groupBy("place", "h", "sim").agg(F.collect_list("key").alias("keys")))
     wanted = np.frombuffer(bitmap(active), np.uint8)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +487,7 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, least: float = LEAST,
 
     texts = map_batches(docs.select("text"), fetch, "h bigint, line string")
     texts = texts.join(active.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    meeting = active.join(texts, "h").select("key", "h", "sim", "line").repartition("key").sortWithinPartitions("key")
+    meeting = active.join(texts, "h").select("place", "h", "sim", "keys", "line").repartition("place").sortWithinPartitions("place")
     links = map_batches(meeting, lambda b: verified_links(b, distance, least), "a bigint, b bigint")
     parts = connected_components(links).withColumnRenamed("node", "h")
     salt = F.pmod("h", F.lit(SALTS)).alias("salt")  # a group of very many lines is dealt to SALTS tasks

@@ -278,3 +278,46 @@ def test_close_rows_of_blocks_are_all_found():
     key, s = np.array([k for k, _ in rows]), np.array([x for _, x in rows], np.uint64)
     want = [any(k == m and x != y and (x ^ y).bit_count() <= 3 for m, y in rows) for k, x in rows]
     assert line_dedup.close_in_blocks(s, key).tolist() == want and 100 < sum(want) < len(want)
+
+
+def test_overlapping_sets_have_one_place(spark, monkeypatch):
+    sets = {1: [10, 11, 12], 2: [12, 13], 3: [13, 14], 4: [20, 21], 5: [30, 31]}
+    df = spark.createDataFrame([(k, s, len(x)) for k, x in sets.items() for s in x], "key bigint, sim bigint, size bigint")
+    places = {(r["key"], r["place"]) for r in line_dedup.dealt(df).collect()}
+    assert places == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
+    monkeypatch.setattr(line_dedup, "MOST_TOGETHER", 4)
+    assert {(r["key"], r["place"]) for r in line_dedup.dealt(df).collect()} == {(k, k) for k in sets}
+
+
+def test_pairs_of_overlapping_sets_are_compared_once(monkeypatch):
+    """Each pair once, however many sets of a place hold it, and the lines joined as by comparing all of each set's pairs."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    lines = [" ".join(word() for _ in range(14)) for _ in range(6)]
+    for _ in range(34):
+        words = rng.choice(lines).split()
+        for at in rng.sample(range(14), 2):
+            words[at] = word()
+        lines.append(" ".join(words))
+    sets = {(place, key): rng.sample(range(40), rng.choice([2, 2, 5, 20])) for place in (1, 2) for key in range(10)}
+    rows = [(place, i, i % 3, sorted(k for p, k in sets if p == place and i in sets[p, k]), lines[i]) for place in (1, 2) for i in range(40)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(5)], ["place", "h", "sim", "keys", "line"])
+    compared, plain = [], line_dedup.alike
+
+    def counted(one, other, least):
+        compared.append(frozenset((one[0], other[0])))
+        return plain(one, other, least)
+
+    monkeypatch.setattr(line_dedup, "alike", counted)
+    found = list(line_dedup.verified_links(iter([batch.slice(0, 50), batch.slice(50)]), 16, 0.8))
+    assert max(compared.count(x) for x in set(compared)) <= 2  # places
+
+    def closed(pairs):
+        label = list(range(40))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(40) if label[i] == x) for x in label}
+
+    want = closed((a, b) for x in sets.values() for a in x for b in x if a < b and similar(lines[a], lines[b], 0.8))
+    assert closed((a, b) for t in found for a, b in zip(*(c.to_pylist() for c in t.columns))) == want and 6 < len(want) < 35
