@@ -13,6 +13,7 @@ tell lines apart outlasts, so lines also meet in BANDS bands of ROWS minima of h
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,10 @@ FILTER_BITS = 25  # of the bitmap that says which lines' texts are wanted: 4 MB
 BLOCKS = 4  # of the SimHash; lines that meet in one are taken further if fewer bits than that differ
 BANDS, ROWS = 16, 3
 MOST_MARKED = 4096  # lines of a bucket up to which close ones are told from the rest before they are searched
-MOST_TOGETHER = 5000  # SimHashes in sets that overlap one set, up to which these are searched together
+MOST_TOGETHER = 20_000  # SimHashes in sets that overlap one set, up to which these are searched together
+MARK_BITS = 1024  # that say which words a line has
+FEW_ROWS = 16  # in a set up to which its lines' words are not marked
+MOST_APART = 200_000  # pairs that are remembered not to be similar
 CHARS = 4
 FEW_WORDS, LONG_WORD = 12, 12  # a line of fewer words, or of longer ones on average, is read by characters
 SEGMENT = 1 << 18  # bytes of lines whose units are hashed at once
@@ -43,6 +47,7 @@ with np.errstate(over="ignore"):
     INVERSES = np.cumprod(np.r_[np.uint64(1), np.full(SEGMENT + 4 * CHARS, np.uint64(pow(BASE, -1, 1 << 64)))], dtype=np.uint64)
 LEAST_CHARS = 12  # of a line of few words that is compared with others that are not equal
 LOOK = 5  # words that an alignment looks ahead
+STEPS = [(p, shift - p) for shift in range(1, LOOK + 1) for p in range(shift + 1)]
 WORDS_LESS = 0.1  # by which the share of words that stay may be less than that of characters
 BATCH_BYTES = 1 << 20
 SALTS, MOST_HOT = 8, 1000
@@ -300,7 +305,7 @@ def verified_links(batches: Iterator[pa.RecordBatch], distance: int, least: floa
     for table in whole_groups(batches):
         place, h, sim = (table.column(i).to_numpy() for i in range(3))
         texts, keys = table.column(4).to_pylist(), table.column(3).combine_chunks()
-        s, sizes = sim.view(np.uint64), np.fromiter(map(len, texts), np.int64, len(texts))
+        s, marks = sim.view(np.uint64), Marks(texts)
         rows, key = np.repeat(np.arange(len(h)), pc.list_value_length(keys).to_numpy()), keys.flatten().to_numpy()
         order = np.lexsort((key, place[rows]))
         rows, key = rows[order], key[order]
@@ -312,26 +317,59 @@ def verified_links(batches: Iterator[pa.RecordBatch], distance: int, least: floa
         for start, end in zip(starts.tolist(), np.r_[starts[1:], len(rows)].tolist()):
             if new[start]:
                 apart.clear()
-            links += [(h[a], h[b]) for a, b in search(rows[start:end], s, sizes, texts, label, groups, apart, distance, least)]
+            links += [(h[a], h[b]) for a, b in search(rows[start:end], s, marks, label, groups, apart, distance, least)]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def search(rest: np.ndarray, s: np.ndarray, sizes: np.ndarray, texts: list[str], label: np.ndarray, groups: dict[int, list[int]], apart: set[int], distance: int, least: float) -> Iterator[tuple[int, int]]:
+class Marks:
+    """Lines and what rules out, for many at once, that they are similar to another; never lines that `alike` takes."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.words, self.distinct = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        self.bits = np.zeros((len(texts), MARK_BITS // 8), np.uint8)
+
+    def read(self, rows: np.ndarray) -> None:
+        """Marks the words of rows for may_share; those that are marked already stay."""
+        for i in rows[self.words[rows] == 0].tolist():
+            _, words, distinct = parted(self.texts[i])
+            self.words[i], self.distinct[i] = len(words), len(distinct)
+            at = np.fromiter(map(hash, distinct), np.int64, len(distinct)) & (MARK_BITS - 1)
+            set_bits = np.zeros(MARK_BITS, bool)
+            set_bits[at] = True
+            self.bits[i] = np.packbits(set_bits)
+
+    def may_share(self, here: int, rows: np.ndarray, least: float) -> np.ndarray:
+        """Which of rows may have enough distinct words of row `here`: a mark that a row lacks is at least one word less."""
+        words = np.maximum(self.words[rows], self.words[here])
+        few = (np.minimum(self.words[rows], self.words[here]) < FEW_WORDS) | (np.maximum(self.sizes[rows], self.sizes[here]) > LONG_WORD * words)
+        marks = self.bits.view(np.uint64)
+        most = self.distinct[here] - np.bitwise_count(marks[here] & ~marks[rows]).sum(axis=1, dtype=np.int64)
+        return few | (most >= (least - WORDS_LESS) * self.distinct[here] * self.words[rows] / words - 1)
+
+
+def search(rest: np.ndarray, s: np.ndarray, marks: Marks, label: np.ndarray, groups: dict[int, list[int]], apart: set[int], distance: int, least: float) -> Iterator[tuple[int, int]]:
     """Pairs that join rows `rest` as all their similar pairs do.  The set is searched outwards.  Rows of equal label, which
     groups lists where there are more than one, are joined already; of the rows in apart (a * number of rows + b, a < b), in
     another set of the place, it is known that they are not similar."""
+    texts, sizes, large = marks.texts, marks.sizes, len(rest) > FEW_ROWS
+    if large:
+        marks.read(rest)
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             here = queue.pop()
             most = (np.maximum(sizes[rest], sizes[here]) * (1 - least) + 1e-9).astype(np.int64)
             near = (np.bitwise_count(s[rest] ^ s[here]) <= distance) & (abs(sizes[rest] - sizes[here]) <= most) & (label[rest] != label[here])
-            parts = parted(texts[here])
-            for i in rest[near].tolist():
+            parts, others = parted(texts[here]), rest[near]
+            for i in (others[marks.may_share(here, others, least)] if large else others).tolist():
                 pair = min(here, i) * len(texts) + max(here, i)
                 if label[i] == label[here] or pair in apart:
                     continue
                 if not alike(parts, parted(texts[i]), least):
+                    if len(apart) >= MOST_APART:
+                        apart.clear()
                     apart.add(pair)
                     continue
                 yield here, i
@@ -362,8 +400,7 @@ def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     up, down = full, 0  # the rises and falls down a column
-    for i, c in enumerate(b):
-        match = at.get(c, 0)
+    for i, match in enumerate(map(at.get, b, repeat(0))):
         diagonal = (((match & up) + up) ^ up) | match | down
         plus = down | ~(diagonal | up) & full
         plus = (plus << 1 | 1) & full
@@ -381,8 +418,7 @@ def aligned_cost(a: list[str], b: list[str], most: int) -> int:
         if a[i] == b[j]:
             i, j = i + 1, j + 1
             continue
-        p = q = 1
-        for p, q in ((p, shift - p) for shift in range(1, LOOK + 1) for p in range(shift + 1)):
+        for p, q in STEPS:
             if i + p < len(a) and j + q < len(b) and a[i + p] == b[j + q]:
                 break
         else:

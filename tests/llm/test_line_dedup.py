@@ -321,3 +321,33 @@ def test_pairs_of_overlapping_sets_are_compared_once(monkeypatch):
 
     want = closed((a, b) for x in sets.values() for a in x for b in x if a < b and similar(lines[a], lines[b], 0.8))
     assert closed((a, b) for t in found for a, b in zip(*(c.to_pylist() for c in t.columns))) == want and 6 < len(want) < 35
+
+
+def test_marks_rule_out_only_lines_that_are_not_similar(monkeypatch):
+    """Large sets, whose lines' words are marked, with marks for many words each, give the links of plain comparisons."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 6)))
+    lines = [" ".join(word() for _ in range(rng.choice([5, 14, 40, 200]))) for _ in range(12)]
+    for _ in range(108):
+        words = rng.choice(lines).split()
+        for at in rng.sample(range(len(words)), rng.randrange(1, 1 + len(words) // 3)):
+            words[at] = word()
+        lines.append(" ".join(words))
+    marks = line_dedup.Marks(lines)
+    marks.read(np.arange(120))
+    pairs = [(a, b) for a in range(120) for b in range(120) if a != b]
+    possible = {a: marks.may_share(a, np.arange(120), 0.8) for a in range(120)}
+    alike = [(a, b) for a, b in pairs if similar(lines[a], lines[b], 0.8)]
+    assert all(possible[a][b] for a, b in alike) and len(alike) > 200
+    assert sum(not possible[a][b] for a, b in pairs) > 3000
+    monkeypatch.setattr(line_dedup, "MOST_APART", 5)
+    n = len(lines)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    columns = [[1] * n, list(range(n)), [0] * n, [[7]] * n, lines]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["place", "h", "sim", "keys", "line"])
+    label = [list(range(n)), list(range(n))]
+    found = [(a, b) for t in line_dedup.verified_links(iter([batch]), 16, 0.8) for a, b in zip(*(c.to_pylist() for c in t.columns))]
+    for which, links in enumerate((found, alike)):
+        for a, b in links:
+            label[which] = [label[which][a] if x == label[which][b] else x for x in label[which]]
+    assert [[x == y for y in label[0]] for x in label[0]] == [[x == y for y in label[1]] for x in label[1]]
