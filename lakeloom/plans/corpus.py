@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import STOP_WORDS, collapse, rebuild
-from lakeloom.operators import learning, quality, retrieval, terms
+from lakeloom.operators import dense, learning, quality, retrieval, terms
 from lakeloom.plans.publications import paper_features, rounded
 from lakeloom.sources.tables import checkpointed, table, with_views
 from lakeloom.streaming import monitor
@@ -63,17 +63,19 @@ def dense_all(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     vectors = v.join(documents(spark, d).select("doc_id").where("doc_id is not null"), v["vec_id"] == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("doc_id"), F.col("e").alias("v"))
     queries = v.join(F.broadcast(benchmark(spark, d).select("query_id")), v["vec_id"] == F.col("query_id")).select("query_id", F.col("e").alias("q"))
-    return retrieval.ranked(retrieval.cosine(vectors, queries))
+    return retrieval.ranked(dense.cosine(vectors, queries))
 
 
 def similar_vectors(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    return retrieval.ranked(retrieval.cosine(v.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("v")), queries))
+    """All embeddings (doc_id, v, label) and, as queries (query_id, q, label), those whose number 100 divides."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), "label")
+    return v.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("v"), "label"), queries
 
 
 def dense_rank(spark, d):
-    return rounded(similar_vectors(spark, d).where("rank <= 10"), "score")
+    vectors, queries = similar_vectors(spark, d)
+    return rounded(retrieval.ranked(dense.best(vectors, queries, 10)).where("rank <= 10"), "score")
 
 
 def prior(spark, d):
@@ -107,10 +109,7 @@ def graph_blend(spark, d):
 
 def retrieval_metrics(spark, d):
     """Dense retrieval of embeddings, whole rankings, relevant being those with the same label."""
-    v = table(spark, d, "embeddings").select("vec_id", "label")
-    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = v.withColumnRenamed("vec_id", "doc_id").join(F.broadcast(queries), "label").select("query_id", "doc_id")
-    return rounded(retrieval.evaluate(similar_vectors(spark, d), relevant), "precision", "recall", "mrr", "ndcg", "ap")
+    return rounded(retrieval.evaluate_by_label(*similar_vectors(spark, d)), "precision", "recall", "mrr", "ndcg", "ap")
 
 
 def relevance(spark, d):

@@ -1,13 +1,14 @@
 """Operators on small hand-written records."""
 
 import json
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import corpus_tokens, normalize, normalize_doi, query_tokens, rebuild, short_id
-from lakeloom.operators import graph, medallion, quality, record_checks, retrieval, temporal
+from lakeloom.operators import dense, graph, medallion, quality, record_checks, retrieval, temporal
 from lakeloom.streaming import monitor
 
 
@@ -165,3 +166,39 @@ def test_composite_constant_range(spark):
     assert got == {1: pytest.approx(0.375), 2: pytest.approx(0.75), 3: 0}
     with pytest.raises(ValueError):
         temporal.composite(df, {"other": "c"})
+
+
+def odd_vectors(spark, seed=5):
+    """(doc_id, v, label) with ties, copies, zero vectors, nulls, NaN, other lengths and a null id, and the first as queries."""
+    r = random.Random(seed)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(4)], i % 3) for i in range(300)] + [(1000 + i, [1.0, 2.0, 0.0, 1.0], None) for i in range(40)]
+    odd = [(2000, [0.0] * 4, 1), (2001, None, 1), (2002, [1.0, None, 1.0, 0.0], 1), (2003, [float("nan"), 1.0, 0.0, 0.0], 1), (2004, [1.0, 2.0], 1), (2005, [1e200, 0.0, 0.0, 0.0], 2), (None, [1.0, 1.0, 0.0, 0.0], 2)]
+    schema = "doc_id bigint, v array<double>, label int"
+    usual, all_of = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + odd, schema)
+    return usual, all_of, usual.where("doc_id < 9").selectExpr("doc_id AS query_id", "v AS q", "label")
+
+
+def test_dense_against_all_pairs(spark, monkeypatch):
+    usual, all_of, queries = odd_vectors(spark)
+    left, right = (df.withColumn(n, dense.norm(c)).where(f"{n} > 0") for df, c, n in ((all_of, "v", "nv"), (queries, "q", "nq")))
+    pairs = retrieval.ranked(dense.by_expression(left, right.drop("label")))
+    want = {(r.query_id, r.rank): (r.doc_id, repr(r.score)) for r in pairs.collect()}
+    for size in (dense.BLOCK_BYTES, 200):  # one block of queries, and several
+        monkeypatch.setattr(dense, "BLOCK_BYTES", size)
+        assert {(r.query_id, r.rank): (r.doc_id, repr(r.score)) for r in retrieval.ranked(dense.cosine(all_of, queries)).collect()} == want
+        found = dense.best(all_of, queries, 5)
+        assert {(r.query_id, r.rank): (r.doc_id, repr(r.score)) for r in retrieval.ranked(found).where("rank <= 5").collect()} == {k: v for k, v in want.items() if k[1] <= 5}
+
+
+def test_evaluation_by_label_without_rankings(spark):
+    usual, all_of, queries = odd_vectors(spark)
+    apart = queries.selectExpr("query_id", "q", "IF(query_id = 4, 7, label) AS label")  # none of its label: no hit
+    rare = usual.selectExpr("doc_id", "v", "IF(doc_id % 50 = 11, label, 5) AS label")  # first hits far down
+    for vectors, asked in ((usual, queries), (usual, apart), (rare, queries), (all_of, queries)):
+        relevant = vectors.join(asked.select("query_id", "label"), "label").select("query_id", "doc_id")
+        want = retrieval.evaluate(retrieval.ranked(dense.cosine(vectors, asked)), relevant)
+        got = retrieval.evaluate_by_label(vectors, asked)
+        assert {r.query_id: pytest.approx(tuple(r)) for r in want.collect()} == {r.query_id: tuple(r) for r in got.collect()}
+    assert dense.hits_by_label(all_of, queries, 10) is None and dense.hits_by_label(usual.union(usual), queries, 10) is None
+    top, facts = dense.hits_by_label(rare, queries, 10)
+    assert top.count() == 90 and facts.where("before >= 10").count() > 0  # ten places a query, whatever the vectors
