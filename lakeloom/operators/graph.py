@@ -26,20 +26,29 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """paper_id, in_degree, pagerank after a fixed number of iterations; what dangling vertices hold is spread over all.
 
-    Edges are written once and ranks after each step, so that the plan of a step does not hold those before it.
+    Vertices that nothing cites all have the same rank, so only cited ones are followed from step to step: what a vertex
+    gets of the uncited is one weight, summed once, and only edges between cited vertices are read in each step.  Degrees
+    and weights are written once and ranks after each step, so that the plan of a step does not hold those before it.
     """
-    edges = checkpointed(edges)
-    nodes = degrees(edges)
-    size = nodes.agg(F.count("*").alias("size"))
-    ranks = checkpointed(nodes.crossJoin(F.broadcast(size)).withColumn("pagerank", 1.0 / F.col("size")))
+    nodes = checkpointed(degrees(edges))
+    size = nodes.count()
+    if not size:
+        return nodes.select("paper_id", "in_degree", F.lit(0.0).alias("pagerank"))
+    ends = nodes.where("out_degree > 0").select("paper_id", "out_degree", (F.col("in_degree") > 0).alias("cited"))
+    sent = edges.join(ends, "paper_id").groupBy("referenced_paper_id", F.when(F.col("cited"), F.col("paper_id")).alias("source"))
+    sent = checkpointed(sent.agg(F.sum(1.0 / F.col("out_degree")).alias("weight")))
+    still = sent.where("source is null").select(F.col("referenced_paper_id").alias("paper_id"), F.col("weight").alias("still"))
+    moving = sent.where("source is not null")
+    ranks = checkpointed(nodes.where("in_degree > 0").join(still, "paper_id", "left").select("paper_id", "out_degree", "in_degree", F.coalesce("still", F.lit(0.0)).alias("still"), F.lit(1.0 / size).alias("pagerank")))
+    uncited = 1.0 / size
     for _ in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("pagerank"))), F.lit(0.0)).alias("lost"))
-        sent = edges.join(ranks.where("out_degree > 0").select("paper_id", (F.col("pagerank") / F.col("out_degree")).alias("share")), "paper_id")
-        gained = sent.groupBy(F.col("referenced_paper_id").alias("paper_id")).agg(F.sum("share").alias("gain"))
-        flow = damping * (F.coalesce("gain", F.lit(0.0)) + F.col("lost") / F.col("size"))
-        ranks = ranks.join(gained, "paper_id", "left").crossJoin(F.broadcast(lost))
-        ranks = checkpointed(ranks.select("paper_id", "out_degree", "in_degree", "size", ((1 - damping) / F.col("size") + flow).alias("pagerank")))
-    return ranks.select("paper_id", "in_degree", "pagerank")
+        lost = ranks.where("out_degree = 0").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
+        shares = moving.join(ranks.select(F.col("paper_id").alias("source"), "pagerank"), "source")
+        gained = shares.groupBy(F.col("referenced_paper_id").alias("paper_id")).agg(F.sum(F.col("pagerank") * F.col("weight")).alias("gain"))
+        base, gain = (1 - damping) / size + damping * lost / size, F.coalesce("gain", F.lit(0.0)) + F.lit(uncited) * F.col("still")
+        ranks = checkpointed(ranks.join(gained, "paper_id", "left").select("paper_id", "out_degree", "in_degree", "still", (F.lit(base) + damping * gain).alias("pagerank")))
+        uncited = base
+    return ranks.select("paper_id", "in_degree", "pagerank").union(nodes.where("in_degree = 0").select("paper_id", "in_degree", F.lit(uncited)))
 
 
 def induced(edges: DataFrame, sampled: DataFrame) -> DataFrame:

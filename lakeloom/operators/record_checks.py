@@ -127,14 +127,14 @@ def record_checks(lines: DataFrame, expected: list[str], id_pattern: str, today:
     records are one scan and one aggregate; ids are counted by id, fields by name.  An empty table passes every check
     but that of the expected fields.
     """
-    parsed = lines.select(F.try_parse_json("value").alias("v"))
+    parsed = lines.select(F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
     checks = predicates(id_pattern, today)
-    named = parsed.select(F.coalesce(text("id"), F.lit("no id")).alias("id"), text("id").alias("own"), entries().alias("entries"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    named = parsed.select(F.coalesce(text("id"), F.lit("no id")).alias("id"), text("id").alias("own"), entries().alias("entries"), "keys", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
 
-    named = checkpointed(named)  # ids and flags: the texts are parsed once for the three counts below
+    sizes = F.size("entries").alias("signed"), F.size(F.filter("entries", blank)).alias("unsigned")
+    named = checkpointed(named.select("id", "own", *sizes, "keys", *checks))  # the texts are made and parsed once for all counts below
     counts = [F.count_if(F.col(n)).alias(f"{n}__n") for n in checks]
-    missing = F.sum(F.size(F.filter("entries", blank)))
-    totals = named.agg(F.count("*").alias("records"), F.sum(F.size("entries")).alias("signed"), missing.alias("unsigned"), *counts)
+    totals = named.agg(F.count("*").alias("records"), F.sum("signed").alias("signed"), F.sum("unsigned").alias("unsigned"), *counts)
 
     def line(n: str, count: Column, denominator: Column, example: Column) -> Column:
         return F.struct(F.lit(n).alias("name"), count.cast("bigint").alias("count"), denominator.cast("bigint").alias("denominator"), example.alias("examples"))
@@ -148,7 +148,7 @@ def record_checks(lines: DataFrame, expected: list[str], id_pattern: str, today:
     repeated = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count")).crossJoin(F.broadcast(totals.select("records")))
     repeated = repeated.select(F.lit("duplicate_ids").alias("name"), F.col("count").cast("bigint"), F.col("records").alias("denominator"), none.alias("examples"))
 
-    seen = lines.select(F.explode(F.map_keys(F.from_json("value", "map<string,string>"))).alias("field")).distinct()
+    seen = named.select("keys").distinct().select(F.explode("keys").alias("field")).distinct()
     both = seen.withColumn("seen", F.lit(1)).join(F.broadcast(lines.sparkSession.createDataFrame([(f, 1) for f in expected], "field string, wanted int")), "field", "full")
     fields = both.agg(*[F.array_sort(F.collect_set(F.when(F.col(c).isNull(), F.col("field")))).alias(c) for c in ("seen", "wanted")], F.count("seen").alias("n"))
     about = [line("missing_expected_fields", F.size("seen"), F.lit(max(1, len(expected))), F.slice("seen", 1, examples)), line("unexpected_fields", F.size("wanted"), F.greatest(F.col("n"), F.lit(1)), F.slice("wanted", 1, examples))]

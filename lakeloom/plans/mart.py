@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators import features, graph, learning, medallion, temporal
@@ -17,30 +18,35 @@ COMPONENTS = {
 }
 
 
-def clean(spark, d):
-    """Silver rows whose id is well formed and occurs once."""
-    rows = checkpointed(silver_rows(spark, d).where(F.col("paper_id").startswith(BASE)))
-    once = rows.groupBy("paper_id").agg(F.count("*").alias("n")).where("n = 1").select("paper_id")
-    return rows.join(once, "paper_id", "left_semi")
+#: The columns of Silver that the ranking reads, and those that the batches do; of the raw fields behind them.
+RANKED = ["paper_id", "title", "publication_year", "cited_by_count", "reference_count", "author_count", "topic_count", "concept_count", "referenced_works"]
+BATCHED = ["publication_year", "paper_id", "title", "author_count", "reference_count", "cited_by_count"]
+PARSED = ["id", "title", "display_name", "publication_year", "cited_by_count", "referenced_works", "authorships"]
+
+
+def clean(spark, d, columns, fields=()):
+    """These columns of the Silver rows whose id is well formed and occurs once; only they are written, and only the raw
+    fields named are parsed, all if none is."""
+    rows = silver_rows(spark, d, *fields).where(F.col("paper_id").startswith(BASE)).select(*columns)
+    return checkpointed(rows.withColumn("n", F.count("*").over(Window.partitionBy("paper_id"))).where("n = 1").drop("n"))
 
 
 def scored(rows):
-    edges = graph.clean_edges(medallion.cited(rows))
-    ranks = graph.pagerank(edges, ITERATIONS).select("paper_id", "pagerank")
+    ranks = graph.pagerank(medallion.cited_once(rows), ITERATIONS).select("paper_id", "pagerank")
     base = rows.select("paper_id", "title", "publication_year", "cited_by_count", "reference_count", "author_count", "topic_count", "concept_count").join(ranks, "paper_id", "left").fillna(0)
     return temporal.ranked_by_score(temporal.composite(base, COMPONENTS, components=True))
 
 
 def publication_ranking(spark, d):
-    return rounded(scored(clean(spark, d)), "score", "pagerank", *[f"{c}_component" for c in COMPONENTS])
+    return rounded(scored(clean(spark, d, RANKED, [*PARSED, "topics", "concepts"])), "score", "pagerank", *[f"{c}_component" for c in COMPONENTS])
 
 
 def mart(spark, d):
-    rows = clean(spark, d)
-    publications = medallion.gold(rows)["publications"]
+    rows = clean(spark, d, [c for c in silver_rows(spark, d).columns if c not in ("authorships", "concepts", "topics")])
+    publications = rows.drop("referenced_works")
     texts = rows.where("abstract_available").select("paper_id", F.concat_ws(" ", "title", "document_type").alias("document_text"))
     clusters = rows.where("language = 'en'").select("paper_id", F.pmod("cited_by_count", F.lit(3)).alias("cluster"))
-    degrees = graph.sample_degrees(graph.clean_edges(medallion.cited(rows)), rows)
+    degrees = graph.sample_degrees(medallion.cited_once(rows), rows)
     labels = learning.citation_features(rows, [])
     predictions = rows.where("reference_count > 0").select("paper_id", (F.col("reference_count") >= 4).cast("double").alias("prediction"))
     ranking = scored(rows).withColumnRenamed("score", "composite_score")
@@ -58,7 +64,7 @@ def mart_coverage(spark, d):
 
 def record_batches(spark, d):
     """Publications in micro-batches by year, then id."""
-    rows = monitor.numbered(clean(spark, d).select("publication_year", "paper_id", "title", "author_count", "reference_count", "cited_by_count"), "publication_year", "paper_id")
+    rows = monitor.numbered(clean(spark, d, BATCHED, PARSED), "publication_year", "paper_id")
     missing = {"title": F.coalesce(F.trim("title") == "", F.lit(True)), "author": F.col("author_count") <= 0}
     return monitor.batch_metrics(rows, BATCH, missing, ("author_count", "reference_count", "cited_by_count"), "publication_year", "paper_id")
 

@@ -18,8 +18,9 @@ def lines(spark, d):
     return record_lines(spark, d).select("value")
 
 
-def silver_rows(spark, d):
-    return medallion.silver(medallion.bronze(medallion.typed(lines(spark, d)), "records", "CC0"), BASE)
+def silver_rows(spark, d, *fields):
+    """Silver of the records; with fields, of only these fields of the raw records, for queries that need no other."""
+    return medallion.silver(medallion.bronze(medallion.typed(lines(spark, d), *fields), "records", "CC0"), BASE)
 
 
 def flat(df):
@@ -36,19 +37,19 @@ def gold_publications(spark, d):
 
 
 def gold_author_publications(spark, d):
-    return medallion.gold(silver_rows(spark, d))["author_publications"]
+    return medallion.gold(silver_rows(spark, d, "id", "authorships"))["author_publications"]
 
 
 def gold_authors(spark, d):
-    return medallion.gold(silver_rows(spark, d))["authors"]
+    return medallion.gold(silver_rows(spark, d, "id", "authorships"))["authors"]
 
 
 def gold_citation_edges(spark, d):
-    return medallion.gold(silver_rows(spark, d))["citation_edges"]
+    return medallion.gold(silver_rows(spark, d, "id", "referenced_works"))["citation_edges"]
 
 
 def gold_topics(spark, d):
-    return medallion.gold(silver_rows(spark, d))["topics"]
+    return medallion.gold(silver_rows(spark, d, "id", "topics"))["topics"]
 
 
 def silver_accounting(spark, d):
@@ -56,7 +57,7 @@ def silver_accounting(spark, d):
 
 
 def silver_flags(spark, d):
-    return medallion.flag_counts(silver_rows(spark, d))
+    return medallion.flag_counts(silver_rows(spark, d, "id", "title", "display_name", "publication_date", "publication_year", "abstract_inverted_index", "authorships"))
 
 
 def record_quality(spark, d):
@@ -77,7 +78,7 @@ def top_concepts(spark, d):
 
 
 def documents_per_year(spark, d):
-    return silver_rows(spark, d).where("publication_year is not null").groupBy("publication_year").agg(F.count("*").alias("records"))
+    return silver_rows(spark, d, "publication_year").where("publication_year is not null").groupBy("publication_year").agg(F.count("*").alias("records"))
 
 
 QUERIES = {

@@ -5,14 +5,17 @@ Some records are malformed on purpose, by the number of the order: blank or repe
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.sources.tables import table
 
 BASE = "https://records.example/"
-#: How each engine joins strings of a group in order of line.
-SPARK_LIST, DUCK_LIST = "listagg({x}, ',') WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_suppkey)", "string_agg({x}, ',' ORDER BY l_linenumber, l_partkey, l_suppkey)"
+#: How DuckDB joins strings of a group in order of line; Spark gathers and sorts the lines of an order once for all lists.
+DUCK_LIST = "string_agg({x}, ',' ORDER BY l_linenumber, l_partkey, l_suppkey)"
+_LINE = ("l_linenumber", "l_partkey", "l_suppkey", "p_size", "p_type", "p_brand")
 _LINES = {
     "refs": f"""'"{BASE}W' || l_partkey || '"'""",
     "signed": f"""'{{"author":{{"id":' || CASE WHEN l_linenumber = 3 THEN 'null' ELSE '"{BASE}A' || l_suppkey || '"' END || ',"display_name":"Supplier ' || l_suppkey || '"}}}}'""",
@@ -41,19 +44,28 @@ _FIELDS = {
 EXPECTED = [*_FIELDS, "grants"]
 
 
-def records_sql(joined: str) -> str:
-    """SELECT k, value over lineitem, part and orders; joined is SPARK_LIST or DUCK_LIST."""
-    lists = ", ".join(f"{joined.format(x=x)} AS {name}" for name, x in _LINES.items())
+def _gathered(x: str) -> str:
+    """The texts x of the lines of an order, joined; null if there are none."""
+    return f"nullif(array_join(transform(lines, e -> {re.sub('|'.join(_LINE), lambda m: f'e.{m[0]}', x)}), ','), '')"
+
+
+def records_sql(joined: str | None = None) -> str:
+    """SELECT k, value over lineitem, part and orders: with joined, as DUCK_LIST, for DuckDB, else for Spark."""
+    each = ((name, joined.format(x=x) if joined else _gathered(x)) for name, x in _LINES.items())
+    lists = ", ".join(f"{sql} AS {name}" for name, sql in each)
+    grouped = f"SELECT l_orderkey AS k, {lists} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey"
+    if not joined:
+        grouped = f"SELECT k, {lists} FROM (SELECT l_orderkey AS k, sort_array(collect_list(struct({', '.join(_LINE)}))) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"
     body = " || ',' || ".join(f"""'"{name}":' || {sql}""" for name, sql in _FIELDS.items())
     extra = """CASE WHEN k % 73 = 0 THEN ',"note":"x"' ELSE '' END"""
     return f"""SELECT k, '{{' || {body} || {extra} || '}}' AS value FROM (SELECT o_orderkey AS k, o_orderpriority, o_orderdate, o_orderstatus, o_totalprice FROM orders) o
-  LEFT JOIN (SELECT l_orderkey AS k, {lists} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) l USING (k)"""
+  LEFT JOIN ({grouped}) l USING (k)"""
 
 
 def record_lines(spark: SparkSession, folder: str) -> DataFrame:
     """value: one JSON record a row."""
     tables = {n: table(spark, folder, n) for n in ("orders", "lineitem", "part")}
-    sql = records_sql(SPARK_LIST)
+    sql = records_sql()
     for name in tables:
         for before in ("FROM ", "JOIN "):
             sql = sql.replace(f"{before}{name} ", f"{before}{{{name}}} ").replace(f"{before}{name})", f"{before}{{{name}}})")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +14,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared folder of spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    context = df.sparkSession.sparkContext
+    """df with its lineage cut in the shared folder of spark.checkpoint.dir; a temporary one where it is unset, as in tests.
+
+    It is written as Parquet and read again, which takes a part of the space of rows and reads only the columns in use."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lakeloom-"))
-    return df.checkpoint()
+    path, schema = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
