@@ -49,73 +49,100 @@ malformed_topics topics warn
 DOI = r"(?i)^(https://doi\.org/)?10\.\S+/\S+$"
 
 
+def got(path: str, kind: str) -> Column:
+    return F.try_variant_get("v", f"$.{path}", kind)
+
+
 def shape(field: str) -> Column:
-    """null (absent or null), list, object, int, number, text or bool."""
-    kind = F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant"))
-    found = [("ARRAY", "list"), ("OBJECT", "object"), ("BIGINT", "int"), ("STRING", "text"), ("BOOLEAN", "bool"), ("DECIMAL", "number"), ("DOUBLE", "number"), ("FLOAT", "number")]
-    out = F.when(kind.isNull() | (kind == "VOID"), "null")
+    """null (absent or null), list, object, int, number, text or bool.
+
+    The schema is asked of values without parts only: that of a list or an object is made of all that it holds."""
+    value = got(field, "variant")
+    kind = F.schema_of_variant(value)
+    found = [("BIGINT", "int"), ("STRING", "text"), ("BOOLEAN", "bool"), ("DECIMAL", "number"), ("DOUBLE", "number"), ("FLOAT", "number")]
+    out = F.when(value.isNull() | F.is_variant_null(value), "null").when(got(field, "array<variant>").isNotNull(), "list").when(got(field, "map<string,variant>").isNotNull(), "object")
     for start, name in found:
         out = out.when(kind.startswith(start), name)
     return out.otherwise("other")
 
 
 def text(path: str) -> Column:
-    return F.try_variant_get("v", f"$.{path}", "string")
+    return got(path, "string")
 
 
 def blank(value: Column) -> Column:
     return F.coalesce(F.trim(value) == "", F.lit(True))
 
 
+#: What the checks read: the shape of these fields, the texts of those.
+SHAPED = [
+    "abstract_inverted_index", "authorships", "cited_by_count", "concepts", "locations", "open_access", "primary_location", "publication_date", "publication_year", "referenced_works", "topics",
+]
+SAID = ["display_name", "doi", "id", "language", "primary_location.source.id", "publication_date", "title"]
+
+
+def prepared(lines: DataFrame) -> DataFrame:
+    """Of JSON texts (value): v, keys, entries, references, shape_<field> and text_<path>, each read once for all checks."""
+    parsed = lines.select(F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
+    shapes = parsed.select("v", "keys", *[shape(f).alias(f"shape_{f}") for f in SHAPED], *[text(p).alias(f"text_{p.replace('.', '_')}") for p in SAID])
+    references = F.coalesce(F.when(F.col("shape_referenced_works") == "list", got("referenced_works", "array<string>")), F.array().cast("array<string>"))
+    return shapes.withColumns({"entries": entries(F.col("shape_authorships")), "references": references})
+
+
 def predicates(id_pattern: str, today: date) -> dict[str, Column]:
-    """For each check of single records, whether a record fails it; a null counts as kept."""
-    def not_a(kind: str, field: str) -> Column:
-        return ~shape(field).isin("null", kind)
+    """For each check of single records, whether a record fails it; a null counts as kept.  They read what `prepared` gives."""
+    def kind_of(field: str) -> Column:
+        return F.col(f"shape_{field}")
 
-    def items(field: str) -> Column:
-        return F.coalesce(F.when(shape(field) == "list", F.try_variant_get("v", f"$.{field}", "array<string>")), F.array().cast("array<string>"))
+    def said(path: str) -> Column:
+        return F.col(f"text_{path.replace('.', '_')}")
+
+    def not_a(kind: str, field: str) -> Column:
+        return ~kind_of(field).isin("null", kind)
 
     def empty(field: str) -> Column:
-        raw = F.to_json(F.try_variant_get("v", f"$.{field}", "variant"))
-        return (shape(field) == "null") | raw.isin("{}", "[]", '""', "0", "false")
+        parts = F.when(kind_of(field) == "list", F.size(got(field, "array<variant>"))).when(kind_of(field) == "object", F.size(got(field, "map<string,variant>")))
+        raw = F.to_json(F.when(~kind_of(field).isin("list", "object"), got(field, "variant")))
+        return (kind_of(field) == "null") | F.coalesce(parts == 0, raw.isin('""', "0", "false"))
 
     index = F.try_variant_get("v", "$.abstract_inverted_index", "map<string,array<variant>>")
     places = F.flatten(F.map_values(index))
     bad_place = F.exists(places, lambda p: ~F.coalesce(F.schema_of_variant(p) == "BIGINT", F.lit(False)) | (F.try_variant_get(p, "$", "bigint") < 0))
-    day = F.when(shape("publication_date") == "text", F.try_to_date(text("publication_date"), "yyyy-MM-dd"))
-    year = F.when(shape("publication_year") == "int", F.try_variant_get("v", "$.publication_year", "bigint"))
-    authors = F.array_compact(F.transform(entries(), lambda e: F.nullif(e, F.lit(""))))
-    has_doi, has_id = ~blank(text("doi")), ~blank(text("id"))
+    day = F.when(kind_of("publication_date") == "text", F.try_to_date(said("publication_date"), "yyyy-MM-dd"))
+    year = F.when(kind_of("publication_year") == "int", F.try_variant_get("v", "$.publication_year", "bigint"))
+    authors = F.array_compact(F.transform("entries", lambda e: F.nullif(e, F.lit(""))))
+    has_doi, has_id = ~blank(said("doi")), ~blank(said("id"))
     out = {
-        "missing_ids": blank(text("id")),
-        "malformed_openalex_ids": has_id & ~text("id").rlike(id_pattern),
-        "missing_titles": blank(text("title")) & blank(text("display_name")),
+        "missing_ids": blank(said("id")),
+        "malformed_openalex_ids": has_id & ~said("id").rlike(id_pattern),
+        "missing_titles": blank(said("title")) & blank(said("display_name")),
         "missing_or_empty_abstract_index": empty("abstract_inverted_index"),
         "malformed_abstract_index": ~empty("abstract_inverted_index") & F.coalesce(bad_place, F.lit(True)),
-        "missing_publication_dates": blank(text("publication_date")),
-        "malformed_publication_dates": ~blank(text("publication_date")) & day.isNull(),
+        "missing_publication_dates": blank(said("publication_date")),
+        "malformed_publication_dates": ~blank(said("publication_date")) & day.isNull(),
         "future_publication_dates": day > F.lit(today),
         "publication_year_mismatch": F.year(day) != year,
         "invalid_publication_year": F.coalesce((year < 1800) | (year > today.year + 1), F.lit(True)),
         "missing_authorships": empty("authorships"),
         "duplicate_author_ids_within_paper": F.size(authors) != F.size(F.array_distinct(authors)),
-        "invalid_cited_by_count": F.coalesce((shape("cited_by_count") != "int") | (F.try_variant_get("v", "$.cited_by_count", "bigint") < 0), F.lit(True)),
+        "invalid_cited_by_count": F.coalesce((kind_of("cited_by_count") != "int") | (F.try_variant_get("v", "$.cited_by_count", "bigint") < 0), F.lit(True)),
         "empty_referenced_works": empty("referenced_works"),
-        "duplicate_references_within_paper": F.size(items("referenced_works")) != F.size(F.array_distinct(items("referenced_works"))),
-        "self_references": F.array_contains(items("referenced_works"), text("id")),
-        "missing_doi": blank(text("doi")),
-        "malformed_doi": has_doi & ~text("doi").rlike(DOI),
-        "missing_language": blank(text("language")),
-        "missing_primary_source": F.coalesce(text("primary_location.source.id") == "", F.lit(True)),
+        "duplicate_references_within_paper": F.size(F.col("references")) != F.size(F.array_distinct(F.col("references"))),
+        "self_references": F.array_contains(F.col("references"), said("id")),
+        "missing_doi": blank(said("doi")),
+        "malformed_doi": has_doi & ~said("doi").rlike(DOI),
+        "missing_language": blank(said("language")),
+        "missing_primary_source": F.coalesce(said("primary_location.source.id") == "", F.lit(True)),
     }
     for kind, names in (("list", ("authorships", "referenced_works", "locations", "concepts", "topics")), ("object", ("primary_location", "open_access"))):
         out |= {f"malformed_{name}": not_a(kind, name) for name in names}
     return out
 
 
-def entries() -> Column:
-    """The author id of each authorship, null where it has none; no entries where authorships is no list."""
-    listed = F.when(shape("authorships") == "list", F.try_variant_get("v", "$.authorships", "array<variant>"))
+def entries(found: Column | None = None) -> Column:
+    """The author id of each authorship, null where it has none; no entries where authorships is no list, its shape if it
+    was found before."""
+    listed = F.when((shape("authorships") if found is None else found) == "list", got("authorships", "array<variant>"))
     return F.coalesce(F.transform(listed, lambda e: F.try_variant_get(e, "$.author.id", "string")), F.array().cast("array<string>"))
 
 
@@ -127,9 +154,8 @@ def record_checks(lines: DataFrame, expected: list[str], id_pattern: str, today:
     records are one scan and one aggregate; ids are counted by id, fields by name.  An empty table passes every check
     but that of the expected fields.
     """
-    parsed = lines.select(F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
     checks = predicates(id_pattern, today)
-    named = parsed.select(F.coalesce(text("id"), F.lit("no id")).alias("id"), text("id").alias("own"), entries().alias("entries"), "keys", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    named = prepared(lines).select(F.coalesce("text_id", F.lit("no id")).alias("id"), F.col("text_id").alias("own"), "entries", "keys", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
 
     sizes = F.size("entries").alias("signed"), F.size(F.filter("entries", blank)).alias("unsigned")
     named = checkpointed(named.select("id", "own", *sizes, "keys", *checks))  # the texts are made and parsed once for all counts below

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import corpus_tokens, normalize, normalize_doi, query_tokens, rebuild, short_id
-from lakeloom.operators import dense, graph, medallion, quality, record_checks, retrieval, temporal
+from lakeloom.operators import dense, graph, medallion, profiling, quality, record_checks, retrieval, temporal
 from lakeloom.streaming import monitor
 
 
@@ -202,3 +202,29 @@ def test_evaluation_by_label_without_rankings(spark):
     assert dense.hits_by_label(all_of, queries, 10) is None and dense.hits_by_label(usual.union(usual), queries, 10) is None
     top, facts = dense.hits_by_label(rare, queries, 10)
     assert top.count() == 90 and facts.where("before >= 10").count() > 0  # ten places a query, whatever the vectors
+
+
+def test_records_are_parsed_once(spark):
+    lines = spark.createDataFrame([(None,), ("[1]",), ('{"id":"a","authorships":[{"author":{"id":"x"}}]}',), ('{"id":"a","authorships":[]}',)], "value string")
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    flags = medallion.flag_counts(medallion.silver(medallion.typed(lines), "https://records.example/"))
+    assert plan(flags).count("from_json") == 1
+    found = profiling.dataset_statistics(lines)
+    assert plan(found).count("LogicalRDD") + plan(found).count("LocalRelation") == 1  # one reading of the texts
+    assert found.first().asDict() == {
+        "record_count": 4, "reference_count": 0, "first_year": None, "last_year": None, "missing_titles": 4, "missing_abstracts": 4, "missing_authors": 3,
+        "unique_publications": 1, "duplicate_identifiers": 1, "unique_authors": 1,
+    }
+
+
+def test_pagerank_of_uncited_sources(spark):
+    edges = spark.createDataFrame([(1, 9), (2, 9), (2, 8), (9, 8), (3, 2)], "paper_id long, referenced_paper_id long")
+    nodes, out = {1, 2, 3, 8, 9}, {1: [9], 2: [9, 8], 9: [8], 3: [2]}
+    want = dict.fromkeys(nodes, 1 / 5)
+    for _ in range(7):
+        lost = want[8]
+        want = {n: 0.03 + 0.85 * (sum(want[a] / len(b) for a, b in out.items() if n in b) + lost / 5) for n in nodes}
+    assert {r.paper_id: pytest.approx(r.pagerank, abs=1e-12) for r in graph.pagerank(edges, 7).collect()} == want
+    assert graph.pagerank(edges.where("false"), 3).collect() == []
