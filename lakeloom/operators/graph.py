@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.sources.tables import checkpointed
 
+MOST_NAMES = 500_000  # that are broadcast
+
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Distinct edges (paper_id, referenced_paper_id) without nulls and self-citations."""
@@ -98,6 +100,21 @@ def collaborations(signed: DataFrame) -> DataFrame:
     return pairs.groupBy("author_id_a", "author_name_a", "author_id_b", "author_name_b").agg(F.countDistinct("paper_id").alias("shared_publication_count"), ids.alias("shared_publication_ids"))
 
 
+def named_collaborations(authorships: DataFrame, names: DataFrame, n_names: int) -> DataFrame:
+    """`collaborations` of authorships (paper_id, author_id) whose names (author_id, author_name) do not vary by paper.
+
+    Only ids are shuffled with the pairs, once; the n_names names are joined to what the pairs come to, by broadcast up to
+    MOST_NAMES of them."""
+    rows = authorships.where("paper_id is not null and author_id is not null").select("paper_id", "author_id").distinct()
+    left, right = (rows.toDF("paper_id", f"author_id_{x}") for x in "ab")
+    pairs = left.join(right, "paper_id").where("author_id_a < author_id_b").repartition("author_id_a", "author_id_b")
+    found = pairs.groupBy("author_id_a", "author_id_b").agg(F.array_sort(F.collect_list("paper_id")).alias("shared_publication_ids"))
+    for x in "ab":
+        known = names.select(F.col("author_id").alias(f"author_id_{x}"), F.col("author_name").alias(f"author_name_{x}")).distinct()
+        found = found.join(F.broadcast(known) if n_names <= MOST_NAMES else known, f"author_id_{x}")
+    return found.select("author_id_a", "author_name_a", "author_id_b", "author_name_b", F.size("shared_publication_ids").cast("bigint").alias("shared_publication_count"), "shared_publication_ids")
+
+
 def author_metrics(signed: DataFrame, edges: DataFrame) -> DataFrame:
     """Publications, solo publications, average position, collaborators and weighted degree of each author, zeros without
     collaborators; signed has paper_id, author_id, author_position, edges author_a, author_b, shared_count."""

@@ -92,7 +92,7 @@ def graph_summary(spark, d):
 
 def collaborations(spark, d):
     names = table(spark, d, "supplier").select(F.col("s_suppkey").alias("author_id"), F.col("s_name").alias("author_name"))
-    found = graph.collaborations(authorships(spark, d).join(names, "author_id"))
+    found = graph.named_collaborations(authorships(spark, d), names, names.count())
     return found.withColumn("shared_publication_ids", F.array_join(F.transform("shared_publication_ids", lambda x: x.cast("string")), ","))
 
 
