@@ -54,6 +54,21 @@ def invert(text: Column) -> Column:
     return F.transform(F.split(text, r"\s+"), lambda w, i: F.struct(i.alias("position"), w.alias("token")))
 
 
+def inverted(words: Column) -> Column:
+    """map<token, array<position>> of an array of words, positions from 0 in order: the words are sorted once and cut
+    where the word changes."""
+    def cut(pairs):  # a run of equal words goes from its start to the next one's
+        last = F.size(pairs)
+        changes = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (i == last) | (F.get(pairs, i)["t"] != F.get(pairs, i - 1)["t"]))
+        return F.transform(F.array(changes), lambda starts: F.map_from_entries(F.transform(
+            F.slice(starts, 1, F.size(starts) - 1),
+            lambda s, k: F.struct(F.get(pairs, s)["t"].alias("t"), F.transform(F.slice(pairs, s + 1, F.get(starts, k + 1) - s), lambda x: x["p"]).alias("ps")),
+        )))
+
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("t"), i.alias("p"))))
+    return F.get(F.get(F.transform(F.array(pairs), cut), F.lit(0)), F.lit(0))
+
+
 def rebuild(index: Column) -> Column:
     """The text of an inverted index map<token, array<position>>: tokens by position, then token; null if there are none."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("t")))))
