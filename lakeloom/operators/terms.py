@@ -10,8 +10,10 @@ from lakeloom.sources.tables import checkpointed
 
 
 def term_counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, kept columns, token, tf of the tokens of each document; documents without tokens give no rows."""
-    return docs.select("doc_id", *keep, F.explode(corpus_tokens(F.col("text"))).alias("token")).groupBy("doc_id", *keep, "token").agg(F.count("*").alias("tf"))
+    """doc_id, kept columns, token, tf of the tokens of each document; documents without tokens give no rows.
+
+    `outer` here and elsewhere: otherwise the optimizer first asks which texts have tokens, which cuts each text twice."""
+    return docs.select("doc_id", *keep, F.explode_outer(corpus_tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("doc_id", *keep, "token").agg(F.count("*").alias("tf"))
 
 
 def terms_global(docs: DataFrame) -> DataFrame:

@@ -42,8 +42,9 @@ def build(docs: DataFrame, folder: str, max_features: int = MAX_FEATURES, stop_w
     is among `documents` but has no postings; an empty table gives an empty index with status `empty`.
     """
     spark = docs.sparkSession
-    given = docs.where(F.col("doc_id").isNotNull() & collapse(F.col("text")).isNotNull())
-    counts = checkpointed(given.select("doc_id", F.explode(index_tokens(F.col("text"), stop_words)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf")))
+    given = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S"))
+    tokens = given.select("doc_id", F.explode_outer(index_tokens(F.col("text"), stop_words)).alias("token")).where("token is not null")
+    counts = checkpointed(tokens.groupBy("doc_id", "token").agg(F.count("*").alias("tf")))
     n = given.count()
     chosen = counts.groupBy("token").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "token").limit(max_features)
     write_parquet(chosen.select("token", smoothed_idf(F.lit(n), F.col("df")).alias("idf")), f"{folder}/vocabulary")

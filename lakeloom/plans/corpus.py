@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import STOP_WORDS, collapse, rebuild
+from lakeloom.functions.text import STOP_WORDS, collapse, inverted, rebuild
 from lakeloom.operators import dense, learning, quality, retrieval, terms
 from lakeloom.plans.publications import paper_features, rounded
 from lakeloom.sources.tables import checkpointed, table, with_views
@@ -40,9 +40,9 @@ def doc_tfidf(spark, d):
 
 
 def abstract_roundtrip(spark, d):
-    """Words inverted to token -> positions and rebuilt."""
-    words = documents(spark, d).select("doc_id", F.posexplode(F.split(collapse(F.col("text")), " ")).alias("p", "t"))
-    index = words.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "ps"))).alias("m"))
+    """Words inverted to token -> positions and rebuilt, each text within its row."""
+    words = documents(spark, d).select("doc_id", F.split(collapse(F.col("text")), " ").alias("words")).where("words is not null")
+    index = words.select("doc_id", inverted(F.col("words")).alias("m"))
     return index.select("doc_id", F.size("m").cast("bigint").alias("tokens"), F.md5(rebuild(F.col("m")).cast("binary")).alias("text_md5"))
 
 

@@ -7,8 +7,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import corpus_tokens, normalize, normalize_doi, query_tokens, rebuild, short_id
-from lakeloom.operators import dense, graph, medallion, profiling, quality, record_checks, retrieval, temporal
+from lakeloom.functions.text import corpus_tokens, inverted, normalize, normalize_doi, query_tokens, rebuild, short_id
+from lakeloom.operators import dense, graph, learning, medallion, profiling, quality, record_checks, retrieval, temporal, terms
 from lakeloom.streaming import monitor
 
 
@@ -228,3 +228,31 @@ def test_pagerank_of_uncited_sources(spark):
         want = {n: 0.03 + 0.85 * (sum(want[a] / len(b) for a, b in out.items() if n in b) + lost / 5) for n in nodes}
     assert {r.paper_id: pytest.approx(r.pagerank, abs=1e-12) for r in graph.pagerank(edges, 7).collect()} == want
     assert graph.pagerank(edges.where("false"), 3).collect() == []
+
+
+def test_texts_are_cut_once_and_within_their_row(spark):
+    docs = spark.createDataFrame([(1, "b a b  c a"), (1, "z"), (2, None), (3, "  "), (None, "é é")], "doc_id long, text string")
+    index = docs.select("doc_id", inverted(F.split(F.col("text"), r"\s+")).alias("m"))
+    assert [r.m for r in index.collect()] == [{"a": [1, 4], "b": [0, 2], "c": [3]}, {"z": [0]}, None, {"": [0, 1]}, {"é": [0, 1]}]
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Aggregate" not in plan(index) and plan(terms.term_counts(docs)).count("regexp_replace") == 1
+
+
+def test_named_collaborations(spark):
+    signed = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 2), (2, 1), (2, 1), (None, 1)], "paper_id long, author_id long")
+    names = spark.createDataFrame([(1, "n1"), (2, "n2"), (2, "n2b")], "author_id long, author_name string")
+    want = graph.collaborations(signed.join(names, "author_id"))
+    for n in (3, graph.MOST_NAMES + 1):
+        found = graph.named_collaborations(signed, names, n)
+        assert found.columns == want.columns and sorted(found.collect()) == sorted(want.collect())
+        lists = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x]
+        assert lists and not any("author_name" in x for x in lists)  # no name is shuffled with the pairs
+
+
+def test_word_vectors_in_several_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma delta{i % 2}") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    monkeypatch.setattr(learning, "WORDS_A_TASK", 50)
+    found = learning.word_vectors(docs).collect()
+    assert len(found) == 40 and all(len(r.v) == 32 for r in found)
