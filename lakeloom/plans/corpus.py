@@ -3,6 +3,9 @@ where it has one."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import STOP_WORDS, collapse, inverted, rebuild
@@ -121,18 +124,23 @@ def relevance(spark, d):
 
 def system_metrics(spark, d):
     """system, query_id and its measures for BM25, dense, fused, reranked and each blend, and for the best blend of each query."""
-    lists = {"bm25": bm25_all(spark, d), "dense": dense_all(spark, d)}
-    lists = {name: checkpointed(found.select("query_id", "doc_id", "score", "rank")) for name, found in lists.items()}
-    lists["hybrid_rrf"] = retrieval.ranked(retrieval.fuse(list(lists.values())))
-    again = checkpointed(retrieval.rerank(lists["hybrid_rrf"], titled(spark, d), benchmark(spark, d), prior(spark, d), CANDIDATES))
-    lists["hybrid_reranked"] = again
-    blends = {f"graph_alpha_{a:g}": retrieval.blend(again, prior(spark, d), a) for a in ALPHAS}
-    relevant, out = checkpointed(relevance(spark, d)), None
-    for name, found in {**lists, **blends}.items():
-        rows = retrieval.evaluate(found, relevant).withColumn("system", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
+    found = {"bm25": bm25_all(spark, d), "dense": dense_all(spark, d)}
+    bm, dense_ranks = (rows.select(F.lit(name).alias("system"), "query_id", "doc_id", "rank") for name, rows in found.items())
+    relevant = checkpointed(relevance(spark, d))
+    wanted, hit = checkpointed(relevant.groupBy("query_id").agg(F.count("*").alias("wanted"))), F.coalesce("hit", F.lit(0)).alias("hit")
+    # whole rankings meet the relevant documents once; all that is made of them carries the hit along
+    marked = bm.union(dense_ranks).join(relevant.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    marked = checkpointed(marked.select("system", "query_id", "doc_id", "rank", hit))
+    fused = retrieval.fused(marked, 60, F.max("hit").alias("hit"))
+    fused = checkpointed(retrieval.ranked(fused))
+    again = checkpointed(retrieval.rerank(fused, titled(spark, d), benchmark(spark, d), prior(spark, d), CANDIDATES))
+    hits = fused.where(F.col("rank") <= CANDIDATES).select("query_id", "doc_id", "hit")
+    short = {"hybrid_reranked": again, **{f"graph_alpha_{a:g}": retrieval.blend(again, prior(spark, d), a) for a in ALPHAS}}
+    rows = [marked, fused.select(F.lit("hybrid_rrf").alias("system"), *marked.columns[1:])]
+    rows += [r.join(hits, ["query_id", "doc_id"]).select(F.lit(name).alias("system"), *marked.columns[1:]) for name, r in short.items()]
+    out = reduce(DataFrame.union, [retrieval.measures(r, wanted, 10, "system") for r in rows])
     out = checkpointed(out)
-    best = retrieval.best_alpha(out.where(F.col("system").isin(list(blends))))
+    best = retrieval.best_alpha(out.where(F.col("system").startswith("graph_alpha_")))
     return out.unionByName(out.join(best, ["query_id", "system"]).withColumn("system", F.lit("hybrid_reranked_graph")))
 
 

@@ -256,3 +256,12 @@ def test_word_vectors_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(learning, "WORDS_A_TASK", 50)
     found = learning.word_vectors(docs).collect()
     assert len(found) == 40 and all(len(r.v) == 32 for r in found)
+
+
+def test_measures_by_system(spark):
+    ranking = spark.createDataFrame([(s, q, d, 1 + (d * s) % 15) for s in (1, 2) for q in (1, 2) for d in range(15)], "system int, query_id int, doc_id int, rank int")
+    relevant = spark.createDataFrame([(1, 2), (1, 7), (1, 14), (1, 99)], "query_id int, doc_id int")
+    marked = ranking.join(relevant.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").fillna(0, ["hit"])
+    got = retrieval.measures(marked, relevant.groupBy("query_id").agg(F.count("*").alias("wanted")), 10, "system")
+    for s in (1, 2):
+        assert sorted(got.where(f"system = {s}").drop("system").collect()) == sorted(retrieval.evaluate(ranking.where(f"system = {s}"), relevant).collect())
